@@ -1,18 +1,16 @@
 """Ordered work per key (running totals, neighbours, last known values) that survives hot keys.
 
-A plain ``Window.partitionBy(key)`` puts a whole key into one task. Here a key that holds
-many rows is cut into segments along its own order. Each segment is scanned on its own, one
-summary row per segment carries the state across, and the two are joined back. Keys that fit
-in a task are one segment, so for them this is one shuffle and one window; the carry side is
-empty then, and AQE removes the join.
-
-Segments come from one of two places:
-
-* ``ordinal`` - a dense 0-based index stored with the rows; the segment is ``ordinal div n``.
-* ``coarse``  - any value that never decreases along the order. It is used only for keys found
-  heavy by a count over a content-hashed sample. The sample is a pure function of the rows, so a
-  retried task or a second branch of the plan always sees the same set. A wrong guess costs time,
-  never a result.
+A plain ``Window.partitionBy(key)`` puts a whole key into one task. Before it is used, the input
+is looked at: when all files behind it together are small, no key can be large. Otherwise rows
+are counted per key over a content-hashed sample. If some key is heavy, the rows of heavy keys
+are cut into segments along their own order; each segment is scanned on its own, one summary row
+per segment carries the state across, and the two are joined back. All other keys are one segment.
+
+The sample is a pure function of the rows, so a retried task or a second branch of the plan
+always sees the same heavy keys. A wrong guess costs time, never a result.
+
+Segments need a value that never decreases along the order: either ``coarse``, or the dense
+0-based index ``ordinal`` stored with the rows (the segment is then ``ordinal div n``).
 """
 
 from __future__ import annotations
@@ -58,6 +56,11 @@ def last_known(value) -> Scan:
     return Scan("last_to", value)
 
 
+def last_before(value) -> Scan:
+    """Last non-null value strictly before this row."""
+    return Scan("last_before", value)
+
+
 def next_known(value) -> Scan:
     """First non-null value at or after this row."""
     return Scan("next_from", value)
@@ -71,26 +74,10 @@ def following(value) -> Scan:
     return Scan("lead", value)
 
 
-def with_segments(
-    df: DataFrame,
-    keys: list[str],
-    order: list[str],
-    *,
-    coarse: Column | None = None,
-    ordinal: str | None = None,
-) -> DataFrame:
-    """Add the segment column: null for a key that fits in one task when ``coarse`` is given."""
-    spark = df.sparkSession
-    if ordinal is not None:
-        return df.withColumn(SEG, F.call_function("div", F.col(ordinal).cast("bigint"), F.lit(session.segment_rows(spark))))
-    if coarse is None:
-        return df.withColumn(SEG, F.lit(None).cast("bigint"))
-    heavy = heavy_keys(df, keys, order)
-    return (
-        df.join(heavy, [df[k].eqNullSafe(heavy[f"__{k}"]) for k in keys], "left")
-        .withColumn(SEG, F.when(F.col("__heavy"), coarse.cast("bigint")))
-        .drop("__heavy", *[f"__{k}" for k in keys])
-    )
+def input_bytes(df: DataFrame) -> int:
+    """Size of the files and tables a frame reads, before any operator."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def heavy_keys(df: DataFrame, keys: list[str], spread: list[str]) -> DataFrame:
@@ -106,6 +93,13 @@ def heavy_keys(df: DataFrame, keys: list[str], spread: list[str]) -> DataFrame:
     )
 
 
+def has_heavy(df: DataFrame, keys: list[str], spread: list[str]) -> bool:
+    """Whether ordered work on ``df`` has to be split. Small inputs are settled without a job."""
+    if input_bytes(df) <= session.small_bytes(df.sparkSession):
+        return False
+    return not heavy_keys(df, keys, spread).isEmpty()
+
+
 def scan(
     df: DataFrame,
     keys: list[str],
@@ -116,23 +110,25 @@ def scan(
     **wanted: Scan,
 ) -> DataFrame:
     """Add one column per ``wanted`` entry, computed along ``order`` within ``keys``."""
-    marked = with_segments(df, keys, order, coarse=coarse, ordinal=ordinal)
-    split = coarse is not None or ordinal is not None
-    inside = W.partitionBy(*keys, SEG).orderBy(*order)
-    local = marked
-    for name, spec in wanted.items():
-        local = local.withColumn(f"__l_{name}", _local(spec, inside))
-    if not split:
-        return _finish(local, wanted, carried=False)
-
-    # The key columns of the heavy side only; empty for ordinary data, so AQE drops all of it.
+    spark = df.sparkSession
     if ordinal is not None:
-        heavy = marked.where(F.col(SEG) > 0).select(*keys).distinct()
-        source = marked.join(heavy, keys, "left_semi")
-    else:
-        source = marked.where(F.col(SEG).isNotNull())
+        coarse = F.call_function("div", F.col(ordinal).cast("bigint"), F.lit(session.segment_rows(spark)))
+    if coarse is None or not has_heavy(df, keys, order):
+        inside = W.partitionBy(*keys).orderBy(*order)
+        return _finish(df.withColumns({f"__l_{n}": _local(spec, inside) for n, spec in wanted.items()}), wanted, carried=False)
+
+    # Read three times below, so its lineage is cut once here.
+    df = session.checkpoint(df)
+    heavy = heavy_keys(df, keys, order)
+    marked = (
+        df.join(heavy, [df[k].eqNullSafe(heavy[f"__{k}"]) for k in keys], "left")
+        .withColumn(SEG, F.when(F.col("__heavy"), coarse.cast("bigint")))
+        .drop("__heavy", *[f"__{k}" for k in keys])
+    )
+    inside = W.partitionBy(*keys, SEG).orderBy(*order)
+    local = marked.withColumns({f"__l_{n}": _local(spec, inside) for n, spec in wanted.items()})
     position = F.struct(*order)
-    totals = source.groupBy(*keys, SEG).agg(
+    totals = marked.where(F.col(SEG).isNotNull()).groupBy(*keys, SEG).agg(
         *[_total(spec, position).alias(f"__t_{name}") for name, spec in wanted.items()]
     )
     across = W.partitionBy(*keys).orderBy(SEG)
@@ -162,6 +158,7 @@ def _local(spec: Scan, inside) -> Column:
         "max_before": lambda: F.max(value).over(before),
         "min_before": lambda: F.min(value).over(before),
         "last_to": lambda: F.last(value, ignorenulls=True).over(upto),
+        "last_before": lambda: F.last(value, ignorenulls=True).over(before),
         "next_from": lambda: F.first(value, ignorenulls=True).over(onward),
         "lag": lambda: F.lag(boxed).over(inside),
         "lead": lambda: F.lead(boxed).over(inside),
@@ -178,6 +175,7 @@ def _total(spec: Scan, position: Column) -> Column:
         "max_before": lambda: F.max(value),
         "min_before": lambda: F.min(value),
         "last_to": lambda: F.max_by(value, known),
+        "last_before": lambda: F.max_by(value, known),
         "next_from": lambda: F.min_by(value, known),
         "lag": lambda: F.max_by(boxed, position),
         "lead": lambda: F.min_by(boxed, position),
@@ -193,6 +191,7 @@ def _carry(spec: Scan, total: Column, across) -> Column:
         "max_before": lambda: F.max(total).over(before),
         "min_before": lambda: F.min(total).over(before),
         "last_to": lambda: F.last(total, ignorenulls=True).over(before),
+        "last_before": lambda: F.last(total, ignorenulls=True).over(before),
         "next_from": lambda: F.first(total, ignorenulls=True).over(after),
         "lag": lambda: F.lag(total).over(across),
         "lead": lambda: F.lead(total).over(across),

@@ -215,3 +215,121 @@ LEVELS = f"""levels AS (
     CAST({LEVEL_HOP_US} AS BIGINT) AS hop_us,
     greatest(CAST(-100 AS DOUBLE), value / CAST(4 AS DOUBLE) - CAST(60 AS DOUBLE)) AS db
   FROM events)"""
+
+
+# --- effects and keyframes of clips ----------------------------------------------------------
+
+EASING_NAMES = ("linear", "hold", "easeIn", "easeOut", "easeInOut")
+
+
+def keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per key; scalar effects keep their number in ``scale``."""
+    return key_rows(raw_clips(spark, sf_dir))
+
+
+def key_rows(clips: DataFrame) -> DataFrame:
+    src = F.col("source_id")
+    e = F.col("effect_ord")
+    effects = clips.select("timeline_id", "track_id", "ord", "clip_id", "source_id", F.explode(F.array(*[big(F.lit(i)) for i in range(3)])).alias("effect_ord"))
+    effects = effects.where(F.pmod(src + e, F.lit(3)) == 0).withColumn("n", F.pmod(src + e, F.lit(4)) + 1)
+    keys = effects.withColumn("key_idx", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    i = F.col("key_idx")
+    number = i.cast("double")
+    place = F.when(F.pmod(src, F.lit(17)) == 0, F.col("n") - 1 - i).otherwise(i)
+    return keys.select(
+        "timeline_id", "track_id", "ord", "clip_id", "effect_ord",
+        F.concat_ws("_", F.lit("fx"), F.col("clip_id"), e.cast("string")).alias("effect_id"),
+        F.element_at(F.array(F.lit("transform"), F.lit("volume"), F.lit("opacity")), (e + 1).cast("int")).alias("type"),
+        (F.pmod(src + e, F.lit(13)) != 0).alias("effect_enabled"),
+        "key_idx",
+        (place * 1_500_000 + F.pmod(src, F.lit(7)) * 100_000).alias("t"),
+        F.when(e == 0, 1 + number * 0.25).when(e == 1, 0.5 + number * 0.5).otherwise(1 - number * 0.25).alias("scale"),
+        F.when(e == 0, number * 0.125).otherwise(0.0).alias("x"),
+        F.when(e == 0, number * -0.0625).otherwise(0.0).alias("y"),
+        F.when(e == 0, number * 2.0).otherwise(0.0).alias("rotation"),
+        F.element_at(F.array(*[F.lit(n) for n in EASING_NAMES]), (F.pmod(i + src, F.lit(5)) + 1).cast("int")).alias("easing"),
+    )
+
+
+def key_sql(clips: str, name: str = "keyframes") -> str:
+    d = "CAST({} AS DOUBLE)".format
+    return f"""{name} AS (
+  SELECT timeline_id, track_id, ord, clip_id, e AS effect_ord, 'fx_' || clip_id || '_' || e AS effect_id,
+    ['transform','volume','opacity'][e + 1] AS type, (source_id + e) % 13 <> 0 AS effect_enabled, i AS key_idx,
+    (CASE WHEN source_id % 17 = 0 THEN (source_id + e) % 4 - i ELSE i END) * 1500000 + (source_id % 7) * 100000 AS t,
+    CASE e WHEN 0 THEN 1 + i * {d('0.25')} WHEN 1 THEN {d('0.5')} + i * {d('0.5')} ELSE 1 - i * {d('0.25')} END AS scale,
+    CASE WHEN e = 0 THEN i * {d('0.125')} ELSE {d('0')} END AS x, CASE WHEN e = 0 THEN i * {d('-0.0625')} ELSE {d('0')} END AS y,
+    CASE WHEN e = 0 THEN i * {d('2')} ELSE {d('0')} END AS rotation,
+    ['linear','hold','easeIn','easeOut','easeInOut'][(i + source_id) % 5 + 1] AS easing
+  FROM {clips}, (SELECT CAST(range AS BIGINT) AS e FROM range(3)), (SELECT CAST(range AS BIGINT) AS i FROM range(4))
+  WHERE (source_id + e) % 3 = 0 AND i <= (source_id + e) % 4)"""
+
+
+KEYFRAMES = key_sql("raw_clips")
+
+
+# --- proposed edits: one op per clip row, aimed at clips that may or may not exist -----------
+
+OP_KINDS = (
+    "trim", "split", "remove", "setEnabled", "move", "setSpeed", "addEffect", "setColor", "setTransform",
+    "removeEffect", "setAudio", "setLabel", "duplicateClip", "insertClip",
+)
+
+
+def ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wide op rows; fields an op does not use are null."""
+    c = raw_clips(spark, sf_dir)
+    src, n = F.col("source_id"), F.col("ord")
+    kind = F.element_at(F.array(*[F.lit(k) for k in OP_KINDS]), (F.pmod(src + n, F.lit(14)) + 1).cast("int"))
+    target = F.concat_ws("_", F.lit("clp"), F.col("timeline_id").cast("string"), F.pmod(src * 7 + n, F.lit(6)).cast("string"))
+    rows = c.select("timeline_id", n.alias("op_idx"), kind.alias("op"), target.alias("clip_id"), src.alias("k"),
+                    F.col("source_in").alias("i"), F.col("source_out").alias("o"), F.col("start").alias("s"), "speed")
+    op, k = F.col("op"), F.col("k")
+    only = lambda name, value: F.when(op == name, value)
+    return rows.select(
+        "timeline_id", "op_idx", "op",
+        F.when(op != "insertClip", F.col("clip_id")).alias("clip_id"),
+        F.when((op == "insertClip") | ((op == "trim") & (F.pmod(k, F.lit(4)) != 0)), F.col("i")).alias("source_in"),
+        F.when((op == "insertClip") | ((op == "trim") & (F.pmod(k, F.lit(5)) != 0)), F.col("o")).alias("source_out"),
+        only("split", F.col("s")).alias("at"),
+        only("move", F.pmod(k, F.lit(9))).alias("to_index"),
+        F.when((op == "setSpeed") | (op == "insertClip"), F.col("speed")).alias("speed"),
+        only("setEnabled", F.pmod(k, F.lit(2)) == 0).alias("enabled"),
+        F.when((op == "addEffect") | (op == "removeEffect"), F.concat(F.lit("fx_add_"), F.pmod(k, F.lit(2)).cast("string"))).alias("effect_id"),
+        only("addEffect", F.when(F.pmod(k, F.lit(2)) == 0, "volume").otherwise("transform")).alias("effect_type"),
+        F.when((op == "setAudio") & (F.pmod(k, F.lit(3)) != 0), F.pmod(k, F.lit(8)).cast("double") / 4).alias("gain"),
+        F.when((op == "setAudio") & (F.pmod(k, F.lit(3)) != 1), F.pmod(k, F.lit(2)) == 0).alias("mute"),
+        only("setLabel", F.concat(F.lit("label "), k.cast("string"))).alias("label"),
+        F.when(((op == "setColor") & (F.pmod(k, F.lit(5)) != 0)), (F.pmod(k, F.lit(9)) - 4).cast("double") / 4).alias("grade"),
+        F.when((op == "setTransform") & (F.pmod(k, F.lit(5)) != 0), F.pmod(k, F.lit(3)) + 1).alias("n_keys"),
+        F.when((op == "split") | (op == "duplicateClip") | (op == "insertClip"), F.concat_ws("_", F.lit("clp"), F.col("timeline_id").cast("string"), F.lit("n"), F.col("op_idx").cast("string"))).alias("new_clip_id"),
+        only("insertClip", F.pmod(k, F.lit(4))).alias("track_id"),
+        only("insertClip", k).alias("source_id"),
+        F.when((op == "insertClip") & (F.pmod(k, F.lit(2)) == 0), F.pmod(k, F.lit(5))).alias("at_index"),
+        only("duplicateClip", F.when(F.pmod(k, F.lit(2)) == 0, "start").otherwise("after")).alias("place"),
+        F.when(F.pmod(k, F.lit(6)) == 0, F.concat(F.lit("because "), F.pmod(k, F.lit(10)).cast("string"))).alias("rationale"),
+        (F.pmod(k + F.col("op_idx"), F.lit(3)) != 0).alias("accepted"),
+    )
+
+
+OPS = f"""ops AS (
+  SELECT timeline_id, ord AS op_idx, op,
+    CASE WHEN op <> 'insertClip' THEN 'clp_' || timeline_id || '_' || ((k * 7 + ord) % 6) END AS clip_id,
+    CASE WHEN op = 'insertClip' OR (op = 'trim' AND k % 4 <> 0) THEN source_in END AS source_in,
+    CASE WHEN op = 'insertClip' OR (op = 'trim' AND k % 5 <> 0) THEN source_out END AS source_out,
+    CASE WHEN op = 'split' THEN start END AS at, CASE WHEN op = 'move' THEN k % 9 END AS to_index,
+    CASE WHEN op IN ('setSpeed', 'insertClip') THEN speed END AS speed,
+    CASE WHEN op = 'setEnabled' THEN k % 2 = 0 END AS enabled,
+    CASE WHEN op IN ('addEffect', 'removeEffect') THEN 'fx_add_' || (k % 2) END AS effect_id,
+    CASE WHEN op = 'addEffect' THEN CASE WHEN k % 2 = 0 THEN 'volume' ELSE 'transform' END END AS effect_type,
+    CASE WHEN op = 'setAudio' AND k % 3 <> 0 THEN CAST(k % 8 AS DOUBLE) / 4 END AS gain,
+    CASE WHEN op = 'setAudio' AND k % 3 <> 1 THEN k % 2 = 0 END AS mute,
+    CASE WHEN op = 'setLabel' THEN 'label ' || k END AS label,
+    CASE WHEN op = 'setColor' AND k % 5 <> 0 THEN CAST(k % 9 - 4 AS DOUBLE) / 4 END AS grade,
+    CASE WHEN op = 'setTransform' AND k % 5 <> 0 THEN k % 3 + 1 END AS n_keys,
+    CASE WHEN op IN ('split', 'duplicateClip', 'insertClip') THEN 'clp_' || timeline_id || '_n_' || ord END AS new_clip_id,
+    CASE WHEN op = 'insertClip' THEN k % 4 END AS track_id, CASE WHEN op = 'insertClip' THEN k END AS source_id,
+    CASE WHEN op = 'insertClip' AND k % 2 = 0 THEN k % 5 END AS at_index,
+    CASE WHEN op = 'duplicateClip' THEN CASE WHEN k % 2 = 0 THEN 'start' ELSE 'after' END END AS place,
+    CASE WHEN k % 6 = 0 THEN 'because ' || (k % 10) END AS rationale, (k + ord) % 3 <> 0 AS accepted
+  FROM (SELECT *, source_id AS k, [{", ".join(f"'{k}'" for k in OP_KINDS)}][(source_id + ord) % 14 + 1] AS op FROM raw_clips))"""

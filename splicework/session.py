@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 HEAVY_ROWS = 4_000_000
 #: One row in this many is looked at when hunting for heavy keys.
 HEAVY_SAMPLE = 64
+#: Inputs up to this many bytes on disk are never split; any key of theirs fits in a task.
+SMALL_BYTES = 256 << 20
 #: Rows of one key that share a segment when a dense ordinal is stored with the data.
 SEGMENT_ROWS = 1_000_000
 
@@ -54,3 +56,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
         shared = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="splicework-ckpt-")
         context.setCheckpointDir(shared)
     return df.checkpoint(eager=True)
+
+
+def small_bytes(spark: SparkSession) -> int:
+    return setting(spark, "smallBytes", SMALL_BYTES)
