@@ -206,14 +206,14 @@ def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("source_id"),
         big("hop").alias("hop"),
         F.lit(LEVEL_HOP_US).cast("bigint").alias("hop_us"),
-        F.greatest(F.lit(-100.0), F.col("value") / F.lit(4.0) - F.lit(60.0)).alias("db"),
+        F.greatest(F.lit(-100.0), F.col("value") / F.lit(-4.0)).alias("db"),
     )
 
 
 LEVELS = f"""levels AS (
   SELECT user_id AS source_id, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS hop,
     CAST({LEVEL_HOP_US} AS BIGINT) AS hop_us,
-    greatest(CAST(-100 AS DOUBLE), value / CAST(4 AS DOUBLE) - CAST(60 AS DOUBLE)) AS db
+    greatest(CAST(-100 AS DOUBLE), value / CAST(-4 AS DOUBLE)) AS db
   FROM events)"""
 
 
