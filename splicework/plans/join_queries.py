@@ -13,11 +13,11 @@ from .views import CLIPS, KEYFRAMES, LEVELS, PROJECTS, SOURCES, sql_round
 
 # Clips over the level series: the recording of a clip is the user its part falls on.
 USED = CLIPS + """,
-used AS (SELECT c.* REPLACE (source_id % 100 AS source_id) FROM clips c)"""
+used AS (SELECT c.* REPLACE (source_id % 400 AS source_id) FROM clips c)"""
 
 
 def used(spark, d):
-    return placed(spark, d).withColumn("source_id", F.pmod("source_id", F.lit(100)))
+    return placed(spark, d).withColumn("source_id", F.pmod("source_id", F.lit(400)))
 
 
 def to_out(t: str) -> str:
