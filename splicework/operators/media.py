@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.numeric import js_round, quotient
 from ..functions.ranges import zero
 from ..functions.rational import reduced
-from .asof import asof_backward
+from ..session import checkpoint
+from .asof import asof_backward, brackets
 from .intervals import overlapping
-from .scan import following, last_known, max_before, previous, running_sum, scan, sum_before
+from .scan import following, has_heavy, last_known, max_before, previous, running_sum, scan, sum_before
 
 TRACK = ["track_id"]
 #: How far one read may skip and span, in bytes.
@@ -140,22 +141,50 @@ def coalesce_reads(samples: DataFrame, max_gap: int = MAX_READ_GAP, max_span: in
     return greedy_groups(marked.drop("__m", "__end"), [*TRACK, "__stretch"], "sample_no", F.col("offset"), F.col("offset") + F.col("size"), max_span, "read_no").drop("__stretch")
 
 
-def greedy_groups(rows: DataFrame, keys: list[str], index: str, begin: Column, end: Column, span: int, out: str) -> DataFrame:
+def greedy_groups(rows: DataFrame, keys: list[str], index: str, begin: Column, end: Column, span: float, out: str) -> DataFrame:
     """Walk rows in order and open a new group when one would reach past its opener by more than ``span``.
 
-    ``out`` is the index of the group's first row. Rows that fit the span since the stretch's start
-    need no walk; the others are folded per stretch over (index, begin, end) alone.
+    ``out`` is the index of the group's first row. ``index`` is dense inside ``keys`` and ``end`` never
+    falls along it. Ordinary stretches are folded over (index, begin, end); with a heavy stretch
+    around, openers are found by following jumps instead, without collecting anything.
     """
-    spot = F.struct(F.col(index).alias("i"), begin.alias("b"), end.alias("e"))
-    packed = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(spot)).alias("xs"))
+    spots = rows.select(*keys, F.col(index).alias("i"), begin.alias("b"), end.alias("e"))
+    openers = _jumped_openers(spots, keys, span) if has_heavy(rows, keys, [index]) else _folded_openers(spots, keys, span)
+    both = rows.join(openers.select(*keys, F.col("i").alias(index), F.col("i").alias("__open")), [*keys, index], "left")
+    return scan(both, keys, [index], coarse=quotient(index, 1 << 20), **{out: last_known(F.col("__open"))}).drop("__open")
+
+
+def _folded_openers(spots: DataFrame, keys: list[str], span: float) -> DataFrame:
+    packed = spots.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "b", "e"))).alias("xs"))
 
     def step(opens: Column, x: Column) -> Column:
         return F.when(x["e"] - F.try_element_at(opens, F.lit(-1))["b"] > span, F.concat(opens, F.array(x))).otherwise(opens)
 
-    opened = packed.select(*keys, F.explode(F.aggregate(F.slice("xs", 2, F.size("xs")), F.slice("xs", 1, 1), step)).alias("o"))
-    openers = opened.select(*keys, F.col("o.i").alias("__open"))
-    both = rows.join(openers.select(*keys, F.col("__open").alias(index), F.col("__open")), [*keys, index], "left")
-    return scan(both, keys, [index], coarse=quotient(index, 1 << 20), **{out: last_known(F.col("__open"))}).drop("__open")
+    opened = F.aggregate(F.slice("xs", 2, F.size("xs")), F.slice("xs", 1, 1), step)
+    return packed.select(*keys, F.explode(opened).alias("o")).select(*keys, "o.i")
+
+
+def _jumped_openers(spots: DataFrame, keys: list[str], span: float) -> DataFrame:
+    """Openers as the rows reached from each stretch's first row, where a row jumps to its group's successor.
+
+    Jumps of 1, 2, 4, ... groups are composed by joins on (key, index), as many as the longest chain
+    has binary digits; applying them from the largest down marks every opener.
+    """
+    rows = checkpoint(spots.withColumn("__at", F.col("b") + span))
+    found = brackets(rows, rows.select(*keys, "e", F.col("i").alias("j")), keys, "__at", "e", ["j"], tie="j")
+    # A row larger than the span is still its own group's opener, so a jump goes forward at least by one.
+    jump = found.select(*keys, "i", F.greatest(F.col("after")["j"], F.col("i") + 1).alias("to")).where(F.col("after").isNotNull())
+    jumps = [checkpoint(jump)]
+    while True:
+        near, far = jumps[-1], jumps[-1].select(*keys, F.col("i").alias("to"), F.col("to").alias("__to"))
+        longer = checkpoint(near.join(far, [*keys, "to"]).select(*keys, "i", F.col("__to").alias("to")))
+        if longer.isEmpty():
+            break
+        jumps.append(longer)
+    marks = rows.groupBy(*keys).agg(F.min("i").alias("i"))
+    for step in reversed(jumps):
+        marks = checkpoint(marks.unionByName(marks.join(step, [*keys, "i"]).select(*keys, F.col("to").alias("i"))).distinct())
+    return marks.join(rows.select(*keys, "i"), [*keys, "i"], "left_semi")
 
 
 def modal_frame_rate(runs: DataFrame, tracks: DataFrame, constant_share: float = 0.9) -> DataFrame:
