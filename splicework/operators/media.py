@@ -10,6 +10,7 @@ from ..functions.ranges import zero
 from ..functions.rational import reduced
 from ..session import checkpoint
 from .asof import asof_backward, brackets
+from .chains import reached
 from .intervals import overlapping
 from .scan import following, has_heavy, last_known, max_before, previous, running_sum, scan, sum_before
 
@@ -165,25 +166,12 @@ def _folded_openers(spots: DataFrame, keys: list[str], span: float) -> DataFrame
 
 
 def _jumped_openers(spots: DataFrame, keys: list[str], span: float) -> DataFrame:
-    """Openers as the rows reached from each stretch's first row, where a row jumps to its group's successor.
-
-    Jumps of 1, 2, 4, ... groups are composed by joins on (key, index), as many as the longest chain
-    has binary digits; applying them from the largest down marks every opener.
-    """
+    """Openers as the rows reached from each stretch's first row, where a row jumps to its group's successor."""
     rows = checkpoint(spots.withColumn("__at", F.col("b") + span))
     found = brackets(rows, rows.select(*keys, "e", F.col("i").alias("j")), keys, "__at", "e", ["j"], tie="j")
     # A row larger than the span is still its own group's opener, so a jump goes forward at least by one.
-    jump = found.select(*keys, "i", F.greatest(F.col("after")["j"], F.col("i") + 1).alias("to")).where(F.col("after").isNotNull())
-    jumps = [checkpoint(jump)]
-    while True:
-        near, far = jumps[-1], jumps[-1].select(*keys, F.col("i").alias("to"), F.col("to").alias("__to"))
-        longer = checkpoint(near.join(far, [*keys, "to"]).select(*keys, "i", F.col("__to").alias("to")))
-        if longer.isEmpty():
-            break
-        jumps.append(longer)
-    marks = rows.groupBy(*keys).agg(F.min("i").alias("i"))
-    for step in reversed(jumps):
-        marks = checkpoint(marks.unionByName(marks.join(step, [*keys, "i"]).select(*keys, F.col("to").alias("i"))).distinct())
+    jumps = found.where(F.col("after").isNotNull()).select(*keys, "i", F.greatest(F.col("after")["j"], F.col("i") + 1).alias("to"))
+    marks = reached(rows.groupBy(*keys).agg(F.min("i").alias("i")), jumps, keys)
     return marks.join(rows.select(*keys, "i"), [*keys, "i"], "left_semi")
 
 

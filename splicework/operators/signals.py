@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import js_round, quotient
 from ..functions.ranges import zero
-from .scan import following, last_known, ordinals, previous, running_sum, scan
+from ..session import checkpoint
+from .asof import brackets
+from .chains import reached
+from .intervals import points_in_ranges
+from .scan import following, has_heavy, last_known, ordinals, previous, running_sum, scan
 from .stats import exact_median
 
 #: The analysis settings.
@@ -147,6 +151,11 @@ def merge_close(candidates: DataFrame) -> DataFrame:
     behind = scan(candidates, SOURCE, ["t"], coarse=by_time, __t=previous(F.col("t")))
     fresh = F.col("__t").isNull() | (F.col("t") - F.col("__t") >= F.col("gap"))
     islands = scan(behind.withColumn("__fresh", F.when(fresh, F.col("t"))), SOURCE, ["t"], coarse=by_time, island=last_known(F.col("__fresh")))
+    islands = islands.select("source_id", "island", "t", "strength", "gap")
+    return _jumped_merge(islands) if has_heavy(islands, ["source_id", "island"], ["t"]) else _folded_merge(islands)
+
+
+def _folded_merge(islands: DataFrame) -> DataFrame:
     packed = islands.groupBy("source_id", "island").agg(
         F.array_sort(F.collect_list(F.struct("t", "strength"))).alias("xs"), F.max("gap").alias("gap")
     )
@@ -161,6 +170,26 @@ def merge_close(candidates: DataFrame) -> DataFrame:
     return packed.select("source_id", F.explode(kept).alias("o")).select("source_id", F.col("o.t").alias("t"), F.col("o.strength").alias("strength"))
 
 
+def _jumped_merge(islands: DataFrame) -> DataFrame:
+    """The same merge for islands too long for one row.
+
+    The kept candidate is handed on to the first later one that is sharper or a gap away; the ones
+    that are left by a gap are the result. Sharper ones are looked for within a gap only.
+    """
+    keys = ["source_id", "island"]
+    rows = checkpoint(islands.withColumns({"i": F.col("t"), "__far": F.col("t") + F.col("gap") - 1}))
+    found = brackets(rows, rows.select(*keys, "t"), keys, "__far", "t", []).select(*keys, "i", "strength", "gap", F.col("after")["t"].alias("far"))
+    width = 1_000_000
+    near = points_in_ranges(
+        rows.select(*keys, F.col("t").alias("__p"), F.col("strength").alias("__s")),
+        found.select(*keys, "i", "strength", (F.col("i") + 1).alias("__a"), (F.col("i") + F.col("gap")).alias("__b")), keys, "__p", "__a", "__b", width,
+    ).where(F.col("__s") > F.col("strength")).groupBy(*keys, "i").agg(F.min("__p").alias("near"))
+    nexts = checkpoint(found.join(near, [*keys, "i"], "left").withColumn("to", F.least("near", "far")))
+    on_way = reached(rows.groupBy(*keys).agg(F.min("i").alias("i")), nexts.where("to is not null"), keys)
+    left_by_gap = F.col("to").isNull() | (F.col("to") - F.col("i") >= F.col("gap"))
+    return nexts.join(on_way, [*keys, "i"], "left_semi").where(left_by_gap).select("source_id", F.col("i").alias("t"), "strength")
+
+
 def strongest(onsets: DataFrame, minutes: DataFrame, per_minute: int = MAX_ONSETS_PER_MINUTE) -> DataFrame:
     """The sharpest few onsets a minute per source; of equals the earlier one stays.
 

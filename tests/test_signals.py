@@ -51,3 +51,16 @@ def test_onsets_when_split(spark, split):
         db[i] = -10.0 - i / 10
     df = spark.createDataFrame([(1, i, 250_000, x) for i, x in enumerate(db)], "source_id bigint, hop bigint, hop_us bigint, db double")
     assert sorted(r["t"] // 250_000 for r in s.detect_onsets(df).collect()) == [5, 20, 33]
+
+
+def test_long_islands_merge_as_short_ones_do(spark, request):
+    import random
+
+    rng, t, data = random.Random(4), 0, []
+    for _ in range(60):
+        t += rng.choice([20, 40, 90, 160])
+        data.append((1, t, rng.randrange(10) / 10, 150))
+    df = spark.createDataFrame(data, "source_id bigint, t bigint, strength double, gap bigint")
+    short = rows(s.merge_close(df))
+    request.getfixturevalue("split")
+    assert rows(s.merge_close(df)) == short
