@@ -16,7 +16,7 @@ from .join_queries import HITS_IN, QUIET_IN, USED, kept_onsets, used
 from .registry import query
 from .replay_queries import document_tracks, op_rows, prepared
 from .signal_queries import KEPT, ONSETS, QUIET, STILL, luma_frames
-from .timeline_queries import TRACKS, placed, tracks
+from .timeline_queries import TRACKS, placed, sql_tc, tracks
 from .views import CLIPS, KEYFRAMES, OPS, PROJECTS, RAW_CLIPS, SOURCES, sql_round
 
 # A conversation is a review: its turns are the proposals, the last one was never ruled on.
@@ -79,17 +79,25 @@ def preview_all(spark, d):
     return rv.preview_ops(placed(spark, d), ops, clips)
 
 
+def _edge(new: str, delta: str, name: str) -> str:
+    return f"""CASE WHEN {new} IS NULL THEN NULL WHEN ci IS NULL THEN 'set the {name} to ' || {sql_tc(new, True)}
+    WHEN {delta} <> 0 THEN CASE WHEN {delta} > 0 THEN 'trim ' ELSE 'extend ' END || {sql_tc(f'abs({delta})', True)} || CASE WHEN {delta} > 0 THEN ' off' ELSE ' onto' END || ' the {name}' END"""
+
+
 N = "CASE WHEN {0} = floor({0}) THEN CAST(CAST({0} AS BIGINT) AS VARCHAR) ELSE CAST({0} AS VARCHAR) END".format
 SENTENCES = f"""idx AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY timeline_id, track_id ORDER BY ord) AS no FROM clips),
-s AS (SELECT o.*, CASE WHEN c.clip_id IS NULL THEN o.clip_id ELSE 'clip ' || no || CASE WHEN coalesce(c.label, '') <> '' THEN ' (' || c.label || ')' ELSE '' END END AS named FROM ops o LEFT JOIN idx c ON c.timeline_id = o.timeline_id AND c.clip_id = o.clip_id)
-SELECT timeline_id, op_idx, CASE op WHEN 'remove' THEN 'Delete ' || named WHEN 'setEnabled' THEN CASE WHEN enabled THEN 'Bring back ' ELSE 'Drop ' END || named WHEN 'move' THEN 'Move ' || named || ' to position ' || (to_index + 1)
+s AS (SELECT o.*, o."at" AS at_, c.source_in AS ci, c.source_out AS co, o.source_in - c.source_in AS dh, c.source_out - o.source_out AS dt, CASE WHEN c.clip_id IS NULL THEN o.clip_id ELSE 'clip ' || no || CASE WHEN coalesce(c.label, '') <> '' THEN ' (' || c.label || ')' ELSE '' END END AS named FROM ops o LEFT JOIN idx c ON c.timeline_id = o.timeline_id AND c.clip_id = o.clip_id)
+SELECT timeline_id, op_idx, CASE op WHEN 'remove' THEN 'Delete ' || named
+  WHEN 'trim' THEN (SELECT upper(w[1]) || w[2:] FROM (SELECT coalesce(nullif(concat_ws(' and ', {_edge('source_in', 'dh', 'head')}, {_edge('source_out', 'dt', 'tail')}), ''), 'adjust') AS w)) || ' of ' || named
+  WHEN 'split' THEN 'Split ' || named || ' at ' || {sql_tc('at_', True)} WHEN 'insertClip' THEN 'Restore ' || {sql_tc('abs(source_out - source_in)', True)} || ' of footage from ' || source_id
+  WHEN 'setEnabled' THEN CASE WHEN enabled THEN 'Bring back ' ELSE 'Drop ' END || named WHEN 'move' THEN 'Move ' || named || ' to position ' || (to_index + 1)
   WHEN 'setSpeed' THEN CASE WHEN speed > 1 THEN 'Speed up ' ELSE 'Slow down ' END || named || ' to ' || {N('speed')} || '×' WHEN 'removeEffect' THEN 'Remove an effect from ' || named
   WHEN 'addEffect' THEN CASE WHEN effect_type = 'volume' THEN 'Ride the volume' ELSE 'Push in from 1× to 1.5×' END || ' on ' || named
   WHEN 'setAudio' THEN CASE WHEN mute THEN 'Mute ' || named WHEN NOT mute THEN 'Unmute ' || named WHEN gain IS NOT NULL THEN 'Set ' || named || ' volume to ' || {sql_round('gain * 100')} || '%' ELSE 'Adjust audio on ' || named END
   WHEN 'setColor' THEN CASE WHEN grade IS NULL THEN 'Clear the colour adjustment on ' || named ELSE 'Adjust colour on ' || named || ': ' || CASE WHEN grade = 0 THEN 'nothing' ELSE 'exposure ' || CASE WHEN grade > 0 THEN '+' ELSE '' END || {sql_round('grade * 100')} END END
   WHEN 'setTransform' THEN CASE WHEN n_keys IS NULL THEN 'Clear the framing on ' || named WHEN n_keys = 1 THEN 'Reframe ' || named || ' at 1×' ELSE 'Push in on ' || named || ', 1× to ' || CASE n_keys WHEN 2 THEN '1.25×' ELSE '1.5×' END END
   WHEN 'setLabel' THEN 'Label ' || named || ' "' || label || '"' WHEN 'duplicateClip' THEN CASE WHEN place = 'start' THEN 'Copy ' || named || ' to the start as a teaser' ELSE 'Duplicate ' || named END END AS sentence
-FROM s WHERE op NOT IN ('trim', 'split', 'insertClip')"""
+FROM s"""
 
 
 @query("describe_ops", "F15", sql=f"WITH {CLIPS}, {OPS}, {SENTENCES}")
@@ -97,7 +105,7 @@ def describe_ops(spark, d):
     clips, ops = prepared(spark, d, keys=False)
     at = indexed(placed(spark, d)).select("timeline_id", F.col("clip_id").alias("__id"), F.struct(F.col("clip_index").alias("index"), "label", "source_in", "source_out").alias("clip"))
     rows = ops.withColumn("__id", F.col("e.clip_id")).join(at, ["timeline_id", "__id"], "left")
-    return rows.where(~F.col("e.op").isin("trim", "split", "insertClip")).select(
+    return rows.select(
         "timeline_id", F.col("e.op_idx").alias("op_idx"), text.describe_op(F.col("e"), F.col("clip"), GRADE).alias("sentence")
     )
 
