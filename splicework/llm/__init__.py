@@ -6,7 +6,7 @@ import importlib
 
 from .registry import CORPUS, CorpusQuery
 
-_MODULES = ("mixing", "secrets")
+_MODULES = ("mixing", "secrets", "urls")
 
 
 def catalog() -> dict[str, CorpusQuery]:
