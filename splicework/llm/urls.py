@@ -93,7 +93,8 @@ def calibrated(held_out: DataFrame) -> DataFrame:
     """
     exact = F.col("score").cast("decimal(38,0)")
     of = lambda v, x: F.sum(F.when(F.col("verdict") == v, x)).cast("double")
-    sums = held_out.where("score IS NOT NULL").agg(*[of(v, x).alias(f"{v}_{n}") for v in ("allow", "block") for n, x in (("n", F.lit(1)), ("s", exact), ("q", exact * exact))])
+    some = F.when(F.col("score").isNotNull(), 1)  # in the sums, as a filter would be pushed below the score and compute it again
+    sums = held_out.agg(*[of(v, x).alias(f"{v}_{n}") for v in ("allow", "block") for n, x in (("n", some), ("s", exact), ("q", exact * exact))])
     mean = {v: f"{v}_s / {v}_n" for v in ("allow", "block")}
     width = {v: f"sqrt(greatest({v}_q / {v}_n - pow({v}_s / {v}_n, 2), 0D)) + 1D" for v in mean}
     return sums.select(F.coalesce(F.expr(f"({mean['allow']} * ({width['block']}) + {mean['block']} * ({width['allow']})) / ({width['allow']} + {width['block']})"), F.lit(0.0)).alias("threshold"))
