@@ -6,7 +6,7 @@ import importlib
 
 from .registry import CORPUS, CorpusQuery
 
-_MODULES = ("mixing", "secrets", "urls", "warc")
+_MODULES = ("line_dedup", "mixing", "secrets", "urls", "warc")
 
 
 def catalog() -> dict[str, CorpusQuery]:
