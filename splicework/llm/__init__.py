@@ -6,7 +6,7 @@ import importlib
 
 from .registry import CORPUS, CorpusQuery
 
-_MODULES = ("line_dedup", "minhash", "mixing", "secrets", "urls", "warc")
+_MODULES = ("language", "line_dedup", "minhash", "mixing", "secrets", "urls", "warc")
 
 
 def catalog() -> dict[str, CorpusQuery]:
