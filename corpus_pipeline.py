@@ -1,12 +1,64 @@
-"""From raw documents to a training mix: language ID, line dedup, near-dedup, decontamination, mixing."""
+"""From raw documents to a training mix: language ID, line dedup, near-dedup, decontamination, mixing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet below
+the cluster's shared checkpoint folder and the next stage reads it back. All stages but the last
+keep the columns of ``documents``, also further ones that ``docs`` has; the last adds ``copies``.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from splicework.llm import decontaminate, language, line_dedup, minhash, mixing
+from splicework.llm.common import checkpoint_folder, table
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents mostly of one language stay; those without letters, null texts and even mixes go."""
+    return language.confident(docs, language.learn(docs))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts repeated three-line windows; documents go that held some and have nothing but blanks left."""
+    cut = line_dedup.line_dedup(docs)
+    emptied = (F.col("lines_removed") > 0) & (mixing.words(F.col("text")) == 0)
+    n_chars = F.when(F.col("lines_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return cut.where(~emptied).withColumn("n_chars", n_chars).select(*docs.columns)
+
+
+def dedup_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays: that of least doc_id."""
+    return minhash.one_of_each(docs)
+
+
+def decontaminate_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share a passage with the benchmark go."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's weight asks for, a row per copy."""
+    return mixing.mix(docs)
+
 
-STAGES = []
+STAGES = [
+    ("language ID", identify_language),
+    ("line dedup", dedup_lines),
+    ("MinHash near-dedup", dedup_near_copies),
+    ("benchmark decontamination", decontaminate_benchmark),
+    ("mixing", mix_sources),
+]
+#: SQL cannot express the learned models and sketches; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+        docs = spark.read.parquet(f"{folder}/{i}")
+    return docs

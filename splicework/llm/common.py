@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint
 
-__all__ = ["BROADCAST_ROWS", "SPREAD", "checkpoint", "lookup", "small_or_spread", "table", "words"]
+__all__ = ["BROADCAST_ROWS", "SPREAD", "checkpoint", "checkpoint_folder", "lookup", "small_or_spread", "table", "words"]
 
 #: Pieces that the rows of one key are dealt over before they meet that key's single row.
 SPREAD = 64
@@ -19,6 +19,12 @@ BROADCAST_ROWS = 20_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder of this session's checkpoints."""
+    checkpoint(spark.range(1))  # chooses it in a session that has none yet
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -224,7 +224,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """(doc_id, text) -> one row per row: doc_id, node, class_id (least doc_id of its class) and
+    """(doc_id, text) -> one row per row: doc_id, node, root (of its class), class_id (least doc_id of its class) and
     links (similar pairs of different texts in which its text was found).
 
     Equal texts are one node; nodes join when a shared sketch and an alignment say that their
@@ -243,10 +243,10 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     rooted = nodes.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least_id = rooted.groupBy("root").agg(F.min("first_id").alias("class_id"))
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    classed = lookup(rooted.select("node", "root"), least_id, ["root"], ["node"]).select("node", "class_id").join(degree, "node", "left")
+    classed = lookup(rooted.select("node", "root"), least_id, ["root"], ["node"]).select("node", "root", "class_id").join(degree, "node", "left")
     found = lookup(every.select("doc_id", "node", "n_words"), classed, ["node"], ["doc_id"], "left")
     alone = F.col("node").isNull()
-    return found.select("doc_id", "node", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+    return found.select("doc_id", "node", "root", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -256,6 +256,22 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return named.join(wanted, same, "left_semi").groupBy("node").agg(F.first("text").alias("text"))
 
 
+def one_of_each(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """The documents, all columns, less those whose class has another: the row of least doc_id stays,
+    among rows of that id the one of least digest, of rows equal in both one.
+
+    Null texts have no class and all stay. A class without any id keeps one row.
+    """
+    found = near_duplicates(docs, least)
+    classed = found.where("node IS NOT NULL").select("class_id", "root", "doc_id", "node")
+    stays = classed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "node")).alias("x")).select("x.doc_id", "x.node")
+    named = docs.withColumn("__node", node_of("text"))
+    same = (named["__node"] == stays["node"]) & named["doc_id"].eqNullSafe(stays["doc_id"])
+    kept = named.join(stays, same, "left_semi")
+    once = kept.withColumn("__row", F.row_number().over(Window.partitionBy("doc_id", "__node").orderBy("__node"))).where("__row = 1")
+    return once.select(*docs.columns).unionByName(docs.where("text IS NULL"))
+
+
 @corpus_query("op2_minhash")
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "links")

@@ -14,7 +14,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, lookup, table
+from .common import checkpoint, checkpoint_folder, lookup, table
 from .registry import corpus_query
 
 # Fixed values of the formats: the skippable frame that holds a dictionary, a frame's first bytes,
@@ -188,12 +188,6 @@ def read_archives(paths: DataFrame, batch_bytes: int = 8 << 20) -> DataFrame:
     return paths.select("path").mapInArrow(work, RECORD_SQL)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared checkpoint folder."""
-    checkpoint(spark.range(1))  # names the folder in a session that has none yet
-    return f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/archives-{uuid.uuid4().hex}"
-
-
 def archive(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
     """Pages (page_id, url, html) -> the paths of their archives.
 
@@ -221,5 +215,5 @@ SELECT page_id, payload_bytes, {_base32('h')} AS payload_digest, CASE WHEN page_
 
 @corpus_query("op6_warc", sql=WARC_SQL)
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = archive(table(spark, sf_dir, "pages"), shared_folder(spark))
+    paths = archive(table(spark, sf_dir, "pages"), f"{checkpoint_folder(spark)}/archives-{uuid.uuid4().hex}")
     return read_archives(paths).drop("url", "payload")
