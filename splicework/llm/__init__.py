@@ -6,7 +6,7 @@ import importlib
 
 from .registry import CORPUS, CorpusQuery
 
-_MODULES = ("decontaminate", "language", "line_dedup", "minhash", "mixing", "secrets", "urls", "warc")
+_MODULES = ("ann", "decontaminate", "language", "line_dedup", "minhash", "mixing", "secrets", "urls", "warc")
 
 
 def catalog() -> dict[str, CorpusQuery]:
