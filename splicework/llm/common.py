@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint
 
-__all__ = ["BROADCAST_ROWS", "SPREAD", "checkpoint", "checkpoint_folder", "lookup", "small_or_spread", "table", "words"]
+__all__ = ["BROADCAST_ROWS", "SPREAD", "boxed", "checkpoint", "checkpoint_folder", "lookup", "small_or_spread", "table", "unboxed", "words"]
 
 #: Pieces that the rows of one key are dealt over before they meet that key's single row.
 SPREAD = 64
@@ -29,6 +29,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def boxed(df: DataFrame, *needed: str | Column, without: Sequence[str] = ()) -> DataFrame:
+    """The rows as one column ``row`` beside the needed ones, so that no other name can clash with an
+    operator's. Columns that ``unboxed`` is going to replace may stay out of it."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c not in without]).alias("row"), *needed)
+
+
+def unboxed(columns: Sequence[str], **replaced: Column) -> list[Column]:
+    """The boxed columns in their order, some of them replaced, and further ones after them."""
+    own = {c.lower() for c in columns}
+    lowered = {name.lower(): column for name, column in replaced.items()}
+    kept = [lowered.get(c.lower(), F.col("row").getField(c)).alias(c) for c in columns]
+    return kept + [column.alias(name) for name, column in replaced.items() if name.lower() not in own]
+
+
 def words(text: Column) -> Column:
     """Number of words; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPREAD, table
+from .common import SPREAD, boxed, table, unboxed
 from .registry import corpus_query
 
 #: Lines of a window.
@@ -43,7 +43,7 @@ def repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
     occurrences then meet that one row, so a window that a third of the corpus holds is no
     task's burden.
     """
-    every = windows(_who(docs), span).withColumn("piece", F.pmod(F.xxhash64("__who"), F.lit(SPREAD)).cast("int"))
+    every = windows(_who(docs.select("doc_id", "text")), span).withColumn("piece", F.pmod(F.xxhash64("__who"), F.lit(SPREAD)).cast("int"))
     place = F.struct("__who", "at")
     pieces = every.groupBy("a", "b", "piece").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     same = Window.partitionBy("a", "b")
@@ -62,11 +62,10 @@ def line_dedup(docs: DataFrame, span: int = SPAN) -> DataFrame:
     null (0 lines); an empty text is one empty line; rows that repeat a document's id and text
     share its fate. Other columns pass through; lines and lines_removed are replaced.
     """
-    base = _who(docs.drop("lines", "lines_removed"))
+    base = _who(boxed(docs, "doc_id", "text", without=["text"]))
     joined = base.join(repeats(docs, span), "__who", "left").withColumn("__all", _lines())
-    starts = F.coalesce("starts", F.array().cast("array<int>"))
     runs = (
-        joined.withColumn("starts", starts)
+        joined.withColumn("starts", F.coalesce("starts", F.array().cast("array<int>")))
         .withColumn("__from", F.expr(f"filter(starts, (s, i) -> i = 0 OR s - starts[i - 1] > {span})"))
         .withColumn("__to", F.expr(f"transform(filter(starts, (s, i) -> i = size(starts) - 1 OR starts[i + 1] - s > {span}), s -> s + {span})"))
     )
@@ -78,7 +77,7 @@ def line_dedup(docs: DataFrame, span: int = SPAN) -> DataFrame:
     cut = runs.withColumn("__kept", F.when(F.size("starts") > 0, kept).otherwise(F.col("__all")))
     whole = cut.withColumn("lines", F.when(F.col("text").isNull(), 0).otherwise(F.size("__all"))).withColumn("lines_removed", F.size("__all") - F.size("__kept"))
     text = F.when(F.col("lines_removed") > 0, F.array_join("__kept", "\n")).otherwise(F.col("text"))
-    return whole.withColumn("text", text).select(*base.drop("__who").columns, "lines", "lines_removed")
+    return whole.select(*unboxed(docs.columns, text=text, lines=F.col("lines"), lines_removed=F.col("lines_removed")))
 
 
 LINES_SQL = """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, small_or_spread, table, words
+from .common import boxed, checkpoint, small_or_spread, table, unboxed, words
 from .registry import corpus_query
 
 #: Weights of the sources in code-point order, repeating; the share of all words that the mix
@@ -58,12 +58,13 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SH
     of no words is taken 0 times. Columns of the input other than doc_id, text and source pass
     through; those named size, source_size, target or copies are replaced.
     """
-    base = docs.drop("size", "source_size", "target", "copies").withColumn("size", words(F.col("text")))
-    targets = checkpoint(source_targets(base.select("source", "size"), weights, share, most)).withColumn("__key", _key())
-    joined = small_or_spread(base.withColumn("__key", _key()), targets.drop("source"), ["__key"], ["doc_id", "size"]).drop("__key")
+    base = boxed(docs, "doc_id", "source", words(F.col("text")).alias("size"), draw(seed, F.col("doc_id"), F.col("text")).alias("drawn")).withColumn("key", _key())
+    targets = checkpoint(source_targets(base.select("source", "size"), weights, share, most)).withColumn("key", _key()).drop("source")
+    joined = small_or_spread(base, targets, ["key"], ["doc_id", "size"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    extra = (draw(seed, F.col("doc_id"), F.col("text")) < rate - F.floor(rate)).cast("int")
-    return joined.withColumn("copies", (F.floor(rate) + extra).cast("int"))
+    extra = (F.col("drawn") < rate - F.floor(rate)).cast("int")
+    copies = (F.floor(rate) + extra).cast("int")
+    return joined.select(*unboxed(docs.columns, size=F.col("size"), source_size=F.col("source_size"), target=F.col("target"), copies=copies))
 
 
 def _key() -> Column:
@@ -73,9 +74,9 @@ def _key() -> Column:
 
 def mix(docs: DataFrame, **parameters) -> DataFrame:
     """The mix itself: each row of ``docs`` as many times as ``mixed`` says, columns unchanged."""
-    counted = mixed(docs, **parameters).where("copies > 0")
-    repeated = counted.select(*[counted[c] for c in counted.columns], F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy"))
-    return repeated.select(*docs.columns)
+    counted = mixed(boxed(docs, "doc_id", "text", "source"), **parameters)
+    repeated = counted.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return repeated.select(*unboxed(docs.columns))
 
 
 MIX_SQL = rf"""

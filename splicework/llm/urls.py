@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, table
+from .common import boxed, checkpoint, table, unboxed
 from .registry import corpus_query
 
 #: The rules of the registered query: (host and path, verdict).
@@ -109,7 +109,7 @@ def judged(urls: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataF
     host and path that no rule judges is blocked. Repeated rows count each time; columns of
     these names are replaced, others pass through.
     """
-    plain = parse(urls.drop("host", "path", "rule", "verdict", "score"))
+    plain = parse(boxed(urls, "url"))
     ruled = plain.withColumn("__rule", longest_rule(rules)).withColumn("rule", F.col("__rule.rule")).withColumn("verdict", F.col("__rule.verdict")).drop("__rule")
     labelled = with_slots(ruled.where("verdict IS NOT NULL").select("url", "host", "path", "verdict"))
     aside = F.substring(F.md5("url"), 1, 1).isin(*CALIBRATION)
@@ -120,7 +120,7 @@ def judged(urls: DataFrame, rules: tuple[tuple[str, str], ...] = RULES) -> DataF
         F.when(F.size("slots") <= 1, "block").when(F.col("__known.b") == 0, "allow").when(F.col("__known.a") == 0, "block")
         .when(F.col("score") >= threshold.scalar(), "allow").otherwise("block")
     )
-    return out.withColumn("verdict", F.coalesce("verdict", method)).drop("slots", "__known")
+    return out.select(*unboxed(urls.columns, host=F.col("host"), path=F.col("path"), rule=F.col("rule"), verdict=F.coalesce("verdict", method), score=F.col("score")))
 
 
 def _sql() -> str:
