@@ -34,7 +34,7 @@ def longest_rule(rules: tuple[tuple[str, str], ...]) -> Column:
     A rule given twice with both verdicts blocks. Rules are a list in the query, so they are for
     tens to hundreds of entries.
     """
-    out = F.lit(None)
+    out = F.lit(None).cast("struct<rule: string, verdict: string>")
     for rule, verdict in sorted(set(rules), key=lambda r: (len(r[0]), r[0], r[1])):
         host, slash, rest = rule.partition("/")
         fits = ((F.col("host") == host) | F.col("host").endswith(f".{host}")) & F.col("path").startswith(slash + rest)
