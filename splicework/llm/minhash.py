@@ -8,16 +8,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPREAD, checkpoint, lookup, table
+from .common import SPREAD, boxed, checkpoint, lookup, table, unboxed
 from .registry import corpus_query
 
 #: Words of a run, runs kept by a sketch, sketches of a text, least similarity (1 - edits / longer length, in words).
 RUN, KEPT, SKETCHES, LEAST = 5, 2, 32, 0.8
 #: Texts up to this many words, in which one edit spoils most runs of five, are also sketched by runs of two.
-SHORT, SHORT_RUN, SHORT_SKETCHES = 64, 2, 16
+SHORT, SHORT_RUN, SHORT_SKETCHES = 64, 2, 32
 #: In buckets of up to this many texts all pairs are compared; in larger ones each with two centres.
 SMALL_BUCKET = 12
 #: Word hashes a task remembers before it starts anew, and elements hashed at once.
@@ -113,26 +114,30 @@ def node_of(text: str) -> Column:
     return F.unhex(F.md5(F.col(text)))
 
 
+def brief(node: str) -> Column:
+    """A short form of a node for candidates; where two nodes share it, both are compared."""
+    return F.xxhash64(F.col(node))
+
+
 def candidates(texts: DataFrame, least: float = LEAST) -> DataFrame:
-    """Pairs (a, b) of nodes that share a sketch and whose lengths allow the similarity.
+    """Pairs (a, b) of brief nodes that share a sketch and whose lengths allow the similarity.
 
     A small bucket gives all its pairs. In a large one every text is paired with two centres, the
-    least and the greatest node, so a family of any size gives as many pairs as it has texts.
-    Buckets are counted over pieces first; no task holds a bucket.
+    least of its piece of the bucket and the least of all, so a family of any size gives at most
+    twice as many pairs as it has texts. Buckets are counted over pieces first; no task holds one.
     """
-    rows = texts.select("node", "n_words", F.explode("sketches").alias("sketch")).withColumn("piece", F.pmod(F.xxhash64("node"), F.lit(SPREAD)).cast("int"))
-    who = F.struct("node", "n_words")
-    pieces = rows.groupBy("sketch", "piece").agg(F.min(who).alias("low"), F.max(who).alias("high"), F.count("*").alias("n"))
+    rows = texts.select(brief("node").alias("id"), F.col("n_words").cast("int").alias("n"), F.explode("sketches").alias("sketch")).withColumn("piece", F.pmod("id", F.lit(SPREAD)).cast("int"))
+    who = F.struct("id", "n")
+    pieces = rows.groupBy("sketch", "piece").agg(F.min(who).alias("near"), F.count("*").cast("int").alias("here"))
     same = Window.partitionBy("sketch")
-    whole = pieces.select("sketch", "piece", F.min("low").over(same).alias("low"), F.max("high").over(same).alias("high"), F.sum("n").over(same).alias("size")).where("size > 1")
+    whole = pieces.select("sketch", "piece", "near", F.min("near").over(same).alias("low"), F.sum("here").over(same).alias("size")).where("size > 1")
     members = rows.join(whole, ["sketch", "piece"])
     small = members.where(F.col("size") <= SMALL_BUCKET).groupBy("sketch").agg(F.collect_list(who).alias("all"))
     one = small.select(F.explode("all").alias("x"), "all")
-    within = one.select("x", F.explode(F.filter("all", lambda y: y["node"] > F.col("x.node"))).alias("y"))
-    large = members.where(F.col("size") > SMALL_BUCKET).select(who.alias("x"), F.explode(F.array("low", "high")).alias("y")).where("x.node != y.node")
-    pairs = within.unionByName(large.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")))
-    fits = F.least("x.n_words", "y.n_words") >= F.greatest("x.n_words", "y.n_words") * F.lit(least)
-    return pairs.where(fits).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    within = one.select("x", F.explode(F.filter("all", lambda y: y["id"] > F.col("x.id"))).alias("y"))
+    large = members.where(F.col("size") > SMALL_BUCKET).select(F.explode(F.array("low", "near")).alias("x"), who.alias("y")).where("x.id != y.id")
+    fits = F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * F.lit(least)
+    return within.unionByName(large).where(fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
 def banded_distance(a: list[str], b: list[str], most: int) -> int:
@@ -186,29 +191,41 @@ def similar(a: str, b: str, least: float = LEAST) -> bool:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float = LEAST) -> DataFrame:
-    """The pairs (a, b) whose texts (node, text) are similar."""
-    named = lambda n: texts.select(F.col("node").alias(n), F.col("text").alias(f"text_{n}"))
-    both = lookup(lookup(pairs, named("a"), ["a"], ["b"]), named("b"), ["b"], ["a"])
+    """Links (a, b) of nodes: the pairs of brief nodes whose texts (node, packed) are similar.
+
+    A centre stands in ``a`` of as many pairs as its bucket has texts, so the first text is
+    looked up over pieces; ``b`` stands in a few pairs for each of its sketches.
+    """
+    named = lambda n: texts.select(brief("node").alias(n), F.col("node").alias(f"node_{n}"), F.col("packed").alias(f"packed_{n}"))
+    both = lookup(pairs.join(named("b"), "b"), named("a"), ["a"], ["b"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            keep = [similar(x.as_py(), y.as_py(), least) for x, y in zip(batch.column("text_a"), batch.column("text_b"), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            keep = [
+                similar(unpack(x.as_buffer()).decode(), unpack(y.as_buffer()).decode(), least)
+                for x, y in zip(batch.column("packed_a"), batch.column("packed_b"), strict=True)
+            ]
+            found = batch.select(["node_a", "node_b"]).filter(pa.array(keep, pa.bool_()))
+            yield found.rename_columns(["a", "b"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(work, "a binary, b binary")
+    return both.select("node_a", "node_b", "packed_a", "packed_b").mapInArrow(work, "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of the links (a, b); the root is the least node of its component.
+    """(node, root) for every node of the links (a, b); the root is some node of its component.
 
-    In each round every node hooks onto its least neighbour, the links move to what their ends
-    hooked onto, and links within one node go. Each round at least halves what is left of a
-    component, and its least node never hooks onto another. Then the hooks are followed back.
+    In each round every node hooks onto that neighbour which a hash drawn anew puts first, or stays
+    if it comes first itself; the links move to what their ends hooked onto, and links within one
+    node go. A component loses a share of its nodes in every round, whatever its shape. Then the
+    hooks are followed back.
     """
     hooks, left = [], checkpoint(links.select("a", "b").where("a != b").distinct())
     while not left.isEmpty():
+        place = lambda n, number=len(hooks): F.struct(F.xxhash64(F.lit(number), n).alias("drawn"), F.col(n).alias("node"))
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = checkpoint(both.groupBy("a").agg(F.min("b").alias("to")).select(F.col("a").alias("node"), F.least("a", "to").alias("to")))
+        first = both.groupBy("a").agg(F.min(place("b")).alias("to"))
+        hook = checkpoint(first.select(F.col("a").alias("node"), F.least("to", place("a"))["node"].alias("to")))
         hooks.append(hook)
         as_of = lambda n, hook=hook: hook.select(F.col("node").alias(n), F.col("to").alias(f"to_{n}"))
         moved = lookup(lookup(left, as_of("a"), ["a"], ["b"]), as_of("b"), ["b"], ["a"])
@@ -237,7 +254,7 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     nodes = every.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_words").alias("n_words"), F.first("sketches").alias("sketches"))
     nodes = checkpoint(nodes)
     pairs = checkpoint(candidates(nodes, least))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "first_id"), "node")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes.select("node", "first_id", brief("node").alias("id")), "id")
     links = checkpoint(verified(pairs, checkpoint(texts_of(docs, wanted)), least))
     roots = components(links)
     rooted = nodes.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -250,10 +267,21 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, text) for the wanted nodes, each from the document of its first_id; copies stay behind."""
-    named = docs.select(F.col("doc_id").alias("first_id"), node_of("text").alias("node"), "text")
-    same = (named["node"] == wanted["node"]) & named["first_id"].eqNullSafe(wanted["first_id"])
-    return named.join(wanted, same, "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+    """(node, packed) for the wanted nodes, each from the document of its first_id; copies stay behind.
+
+    Texts are compressed where they are read, for they move several times before they are compared.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            packed = pa.array([None if t is None else pack(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("first_id"), batch.column("node"), packed], ["first_id", "node", "packed"])
+
+    asked = docs.select(F.col("doc_id").alias("first_id"), node_of("text").alias("node"), "text")
+    packed = asked.mapInArrow(work, f"first_id {asked.schema['first_id'].dataType.simpleString()}, node binary, packed binary")
+    same = (packed["node"] == wanted["node"]) & packed["first_id"].eqNullSafe(wanted["first_id"])
+    return packed.join(wanted, same, "left_semi").groupBy("node").agg(F.first("packed").alias("packed"))
 
 
 def one_of_each(docs: DataFrame, least: float = LEAST) -> DataFrame:
@@ -265,11 +293,11 @@ def one_of_each(docs: DataFrame, least: float = LEAST) -> DataFrame:
     found = near_duplicates(docs, least)
     classed = found.where("node IS NOT NULL").select("class_id", "root", "doc_id", "node")
     stays = classed.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "node")).alias("x")).select("x.doc_id", "x.node")
-    named = docs.withColumn("__node", node_of("text"))
-    same = (named["__node"] == stays["node"]) & named["doc_id"].eqNullSafe(stays["doc_id"])
+    named = boxed(docs, "doc_id", node_of("text").alias("node"))
+    same = (named["node"] == stays["node"]) & named["doc_id"].eqNullSafe(stays["doc_id"])
     kept = named.join(stays, same, "left_semi")
-    once = kept.withColumn("__row", F.row_number().over(Window.partitionBy("doc_id", "__node").orderBy("__node"))).where("__row = 1")
-    return once.select(*docs.columns).unionByName(docs.where("text IS NULL"))
+    once = kept.withColumn("at", F.row_number().over(Window.partitionBy("doc_id", "node").orderBy("node"))).where("at = 1")
+    return once.select(*unboxed(docs.columns)).unionByName(docs.where("text IS NULL"))
 
 
 @corpus_query("op2_minhash")
