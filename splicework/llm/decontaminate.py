@@ -16,7 +16,7 @@ from .registry import corpus_query
 
 #: Fixed masks over consecutive words: only positions with a 1 are compared, so a seed survives
 #: substituted words at the others.
-MASKS = ("1101011011", "1110010111", "1011100111", "1111000011101")
+MASKS = ("1101011011", "1110010111", "1011100111", "11101101")
 #: Fewest words of an overlap (or of a whole shorter item, down to FEWEST), and the part of them that must agree.
 OVERLAP, FEWEST, AGREE = 13, 8, 0.8
 #: Bytes of benchmark text that one pass over the documents looks for; a larger benchmark takes more passes.
