@@ -13,7 +13,7 @@ from .common import BROADCAST_ROWS, checkpoint, table
 from .registry import corpus_query
 
 #: Hash tables, and index rows that a query asks for: ROWS * N ** POWER over all tables, of N different vectors.
-TABLES, ROWS, POWER = 32, 24.7, 0.47
+TABLES, ROWS, POWER = 48, 64.0, 0.375
 #: Rows that a probed bucket holds, times the mean bucket: queries probe where vectors are dense.
 DENSITY = 1.55
 #: Axes of one hash that probes are made of, and combinations kept while hashes are combined.
