@@ -28,6 +28,7 @@ MIME_BY_EXTENSION = {
 }
 #: The small copy's rate, its safety share, and the decoder's speed-up.
 PROXY_BITS = 2_000_000
+PROXY_SHARE = 0.5
 DECODER_SPEEDUP = 4
 
 
@@ -103,12 +104,14 @@ def length_standing(projects: DataFrame, durations: DataFrame) -> DataFrame:
     return rows.select("project_id", current.alias("current_us"), target.alias("target_us"), over.alias("over_us"), label.alias("label"))
 
 
-def estimate_render_cost(projects: DataFrame, durations: DataFrame, max_dimension: int = 1920, share: float = 1.0) -> DataFrame:
+def estimate_render_cost(projects: DataFrame, durations: DataFrame, max_dimension: int = 1920, share: float = PROXY_SHARE) -> DataFrame:
     """Output size, bitrate, frame count and small-copy cost of rendering each project.
 
-    ``share`` scales the small copy's bitrate estimate.
+    A small copy takes ``share`` of the least bitrate for its picture, and the recordings' own audio,
+    which is copied: ``audio_bytes`` of ``projects``, where there is such a column.
     """
-    rows = projects.select("project_id", "width", "height", "fps_num", "fps_den").join(durations, F.col("project_id") == F.col("timeline_id"))
+    audio = F.coalesce(F.col("audio_bytes"), zero()) if "audio_bytes" in projects.columns else zero()
+    rows = projects.select("project_id", "width", "height", "fps_num", "fps_den", audio.alias("audio_bytes")).join(durations, F.col("project_id") == F.col("timeline_id"))
     longest = F.greatest("width", "height")
     scale = F.when(longest > max_dimension, F.lit(float(max_dimension)) / longest).otherwise(F.lit(1.0))
     even = lambda c: F.greatest(F.lit(2).cast("bigint"), js_round(F.col(c) * scale / 2) * 2)
@@ -119,7 +122,7 @@ def estimate_render_cost(projects: DataFrame, durations: DataFrame, max_dimensio
         "project_id", "out_width", "out_height",
         F.greatest(F.lit(2_000_000).cast("bigint"), js_round(F.col("out_width") * F.col("out_height") * F.lit(0.1) * 30)).alias("bitrate"),
         F.greatest(F.lit(1).cast("bigint"), F.ceil(F.col("duration_us") / step).cast("bigint")).alias("frames"),
-        js_round(seconds * (PROXY_BITS * share) / 8).alias("proxy_bytes"),
+        js_round(seconds * (PROXY_BITS * share) / 8 + F.col("audio_bytes")).alias("proxy_bytes"),
         js_round(seconds * 1000 / DECODER_SPEEDUP).alias("proxy_ms"),
     )
 

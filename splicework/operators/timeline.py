@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.frames import frame_step, frame_us, snap_to_frame
 from ..functions.numeric import js_round
 from ..functions.ranges import output_length, source_length, zero
-from .scan import following, max_before, previous, scan, sum_before
+from .scan import following, max_before, ordinals, previous, scan, sum_before
 
 TRACK = ["timeline_id", "track_id"]
 
@@ -23,15 +23,18 @@ def with_durations(clips: DataFrame) -> DataFrame:
 def reflow(clips: DataFrame) -> DataFrame:
     """Positions as playback sees them: empty clips gone, video clips end to end.
 
-    Disabled clips sit at the cursor without moving it. Other tracks keep their start.
+    Disabled clips sit at the cursor without moving it. Clips of other tracks keep their start and
+    stand in the order of start and id; the track's lowest ``ord`` counts on from there.
     """
     kept = clips.where(F.col("source_out") > F.col("source_in")).withColumn("out_len", output_length())
     used = F.when(F.col("enabled"), F.col("out_len")).otherwise(zero())
-    return (
-        scan(kept, TRACK, ["ord"], ordinal="ord", __before=sum_before(used))
-        .withColumn("start", F.when(F.col("kind") == "video", F.col("__before")).otherwise(F.col("start")).cast("bigint"))
-        .drop("__before")
-    )
+    video = F.coalesce(F.col("kind") == "video", F.lit(False))
+    reflowed = scan(kept.where(video), TRACK, ["ord"], ordinal="ord", __before=sum_before(used)).withColumn("start", F.col("__before").cast("bigint")).drop("__before")
+    others = kept.where(~video)
+    lowest = others.groupBy(*TRACK).agg(F.min("ord").alias("__lowest"))
+    ranked = ordinals(others, TRACK, ["start", "clip_id"], "__nth", coarse=F.floor(F.col("start") / 60_000_000)).join(lowest, TRACK)
+    placed = ranked.withColumn("ord", (F.col("__lowest") + F.col("__nth")).cast(kept.schema["ord"].dataType))
+    return reflowed.unionByName(placed.select(*reflowed.columns))
 
 
 def timeline_duration(clips: DataFrame, extra_keys: tuple[str, ...] = ()) -> DataFrame:

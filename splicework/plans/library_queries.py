@@ -84,7 +84,7 @@ s AS (SELECT p.*, duration_us, CASE WHEN greatest(width, height) > 1920 THEN CAS
 e AS (SELECT *, greatest(2, {sql_round('width * sc / 2')} * 2) AS out_width, greatest(2, {sql_round('height * sc / 2')} * 2) AS out_height FROM s)
 SELECT project_id, out_width, out_height, greatest(2000000, {sql_round('out_width * out_height * CAST(0.1 AS DOUBLE) * 30')}) AS bitrate,
   greatest(1, CAST(ceil(duration_us / (CAST(fps_den * 1000000 AS DOUBLE) / fps_num)) AS BIGINT)) AS frames,
-  {sql_round('duration_us / CAST(1000000 AS DOUBLE) * 2000000 / 8')} AS proxy_bytes, {sql_round('duration_us / CAST(1000000 AS DOUBLE) * 1000 / 4')} AS proxy_ms FROM e""")
+  {sql_round('duration_us / CAST(1000000 AS DOUBLE) * 1000000 / 8')} AS proxy_bytes, {sql_round('duration_us / CAST(1000000 AS DOUBLE) * 1000 / 4')} AS proxy_ms FROM e""")
 def estimate_render_cost(spark, d):
     return library.estimate_render_cost(v.projects(spark, d), tl.timeline_duration(placed(spark, d)))
 

@@ -38,13 +38,13 @@ def bucket_count(spark, d):
     return placed(spark, d).select("clip_id", g.bucket_count(F.col("ord") * 97, F.col("out_len"), F.pmod("source_id", F.lit(3)) * 900_000).alias("buckets"))
 
 
-LADDER = ", ".join(str(s) for s in g.LADDER_SECONDS)
+LADDER = "2, 5, 10, 15, 30, 60, 120, 300, 600, 1800"
 
 
 @query("time_buckets", "G4", sql=f"""WITH {PROJECTS}, v AS (SELECT project_id AS view_id, (project_id * 7919) % 9000000 AS f, (project_id * 7919) % 9000000 + 2500000 AS t, CAST(8000000 AS BIGINT) AS tot, CAST(20 + project_id % 2000 AS DOUBLE) AS pps, fps_num / CAST(fps_den AS DOUBLE) AS fps FROM projects),
 w AS (SELECT *, {sql_round('fps')} AS nom, 1000000 / fps AS fus FROM v), x AS (SELECT *, fus / 1000000 * pps AS px FROM w),
-y AS (SELECT *, coalesce(list_filter(list_concat(list_filter(range(1, nom + 1), lambda k: nom % k = 0), list_transform([{LADDER}], lambda s: s * nom)), lambda k: px * k >= CASE WHEN k < nom THEN {g.FRAME_LABEL_PX} ELSE {g.SECOND_LABEL_PX} END)[1], nom * 1800) AS step FROM x),
-z AS (SELECT *, CASE WHEN step > 1 AND px >= {g.FRAME_TICK_PX} THEN 1 ELSE step END AS grid, greatest(0, CAST(floor(f / fus) AS BIGINT)) AS a, CAST(floor(least(t, tot) / fus + 1e-6) AS BIGINT) AS b FROM y),
+y AS (SELECT *, coalesce(list_filter(list_concat(list_filter(range(1, nom + 1), lambda k: nom % k = 0), list_transform([{LADDER}], lambda s: s * nom)), lambda k: px * k >= CASE WHEN k < nom THEN 150 ELSE 64 END)[1], nom * 1800) AS step FROM x),
+z AS (SELECT *, CASE WHEN step > 1 AND px >= 9 THEN 1 ELSE step END AS grid, greatest(0, CAST(floor(f / fus) AS BIGINT)) AS a, CAST(floor(least(t, tot) / fus + 1e-6) AS BIGINT) AS b FROM y),
 k AS (SELECT *, unnest(range(a - a % grid, b + 1, grid)) AS frame FROM z), u AS (SELECT *, {sql_round('frame * fus')} AS us FROM k)
 SELECT view_id, frame, us, step AS step_frames, CASE WHEN frame % step = 0 THEN CASE WHEN frame % nom = 0 THEN regexp_replace({sql_tc('us', True)}, '\\.\\d+$', '') ELSE (frame % nom) || 'f' END END AS label FROM u WHERE us <= tot""")
 def time_buckets(spark, d):

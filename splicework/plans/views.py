@@ -79,7 +79,9 @@ sized_clips AS (
 
 CLIPS = SIZED_CLIPS + """,
 clips AS (
-  SELECT timeline_id, track_id, kind, ord, clip_id, source_id, source_in, source_out,
+  SELECT timeline_id, track_id, kind,
+    CASE WHEN kind = 'video' THEN ord ELSE min(ord) OVER (PARTITION BY timeline_id, track_id) + ROW_NUMBER() OVER (PARTITION BY timeline_id, track_id ORDER BY start, clip_id) - 1 END AS ord,
+    clip_id, source_id, source_in, source_out,
     CASE WHEN kind = 'video' THEN CAST(coalesce(sum(CASE WHEN enabled THEN out_len ELSE 0 END) OVER (
       PARTITION BY timeline_id, track_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT)
       ELSE start END AS start,

@@ -58,12 +58,13 @@ def parse_events(lines: DataFrame, value: str = "value") -> DataFrame:
     return rows.withColumn("__p", checked).withColumns({"e": F.col("__p.e"), "error": F.col("__p.error")}).drop("__p")
 
 
-def good_events(parsed: DataFrame) -> DataFrame:
+def good_events(parsed: DataFrame, *more: Column) -> DataFrame:
+    """The events of good lines, and whatever else is asked of the lines."""
     e = F.col("e")
     return parsed.where("error is null").select(
         e["id"].alias("event_id"), e["projectId"].alias("project_id"), e["seq"].alias("seq"), F.to_timestamp(e["at"]).alias("at"), e["actor"].alias("actor"),
         e["type"].alias("type"), e["playhead"].alias("playhead"), F.coalesce(e["payload"], F.lit("{}")).alias("payload"), e["ops"].alias("ops"),
-        e["revisionId"].alias("revision_id"), e["timelineDigest"].alias("timeline_digest"),
+        e["revisionId"].alias("revision_id"), e["timelineDigest"].alias("timeline_digest"), *more,
     )
 
 
@@ -108,10 +109,25 @@ def write_event_log(events: DataFrame, path: str, mode: str = "errorifexists") -
     lines.repartitionByRange("project_id", "seq").sortWithinPartitions("project_id", "seq").select("value").write.mode(mode).text(path)
 
 
-def upsert_events(existing: DataFrame, batch: DataFrame) -> DataFrame:
-    """The log after a batch: a sequence number written again replaces the row it had."""
-    both = existing.withColumn("__new", F.lit(0)).unionByName(batch.withColumn("__new", F.lit(1)))
-    return newest(both, ["project_id", "seq"], "__new")
+def upsert_events(existing: DataFrame | None, batch: DataFrame, arrival: str | None = None) -> DataFrame:
+    """The log after a batch: a sequence number written again replaces the row it had.
+
+    Of rows of one number inside the batch the last along the batch's column ``arrival`` stays,
+    which the log doesn't keep; rows that arrived together are told apart by their content, so
+    that the outcome never depends on the plan.
+    """
+    named = batch.withColumnRenamed(arrival, "__arrival") if arrival else batch.withColumn("__arrival", F.lit(0))
+    kept = _last(named, ["project_id", "seq"])
+    if existing is None:
+        return kept
+    return newest(existing.withColumn("__new", F.lit(0)).unionByName(kept.withColumn("__new", F.lit(1))), ["project_id", "seq"], "__new")
+
+
+def _last(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The row of each key that arrived last."""
+    rest = [c for c in rows.columns if c not in keys and c != "__arrival"]
+    order = F.struct(F.col("__arrival"), F.to_json(F.struct(*rest)))
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("__row")).select(*keys, "__row.*").select(*[c for c in rows.columns if c != "__arrival"])
 
 
 def newest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:

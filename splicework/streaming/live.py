@@ -50,24 +50,25 @@ class VersionedTable:
         pointer.coalesce(1).write.mode("append").json(f"{self.path}/pointer")
 
 
-def ingest_events(spark: SparkSession, folder: str, store: str, checkpoint: str, max_files: int = 1000, late: str = "1 hour") -> StreamingQuery:
-    """Read JSON lines as they arrive into a log where a sequence number has one row.
+def ingest_events(spark: SparkSession, folder: str, store: str, checkpoint: str, max_files: int = 1000, trigger: dict | None = None) -> StreamingQuery:
+    """Read JSON lines as they arrive into a log where a sequence number has one row, the last written.
 
-    Bad lines go to ``store/skipped``. Repeats inside the lateness are dropped by the state store, any
-    others by the upsert.
+    No event is too late: rows are merged by their number, in the order of their files' times, names
+    and lines, and nothing is dropped by a watermark. Bad lines go to ``store/skipped``, by batch, so
+    that a batch that runs again writes them once. ``trigger`` is passed on; by default what is there is read
+    and the query ends.
     """
-    lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(folder)
-    parsed = parse_events(lines)
-    bad = parsed.where("error is not null").select("raw", "error")
+    place = ("file_modification_time", "file_path", "file_block_start")
+    lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(folder).select("value", *[F.col(f"_metadata.{c}").alias(c) for c in place])
     table = VersionedTable(spark, f"{store}/events")
 
     def merge(batch: DataFrame, number: int) -> None:
-        held = table.before(number)
-        table.write(upsert_events(held, batch) if held is not None else batch, number)
+        parsed = parse_events(batch.withColumn("line", F.monotonically_increasing_id()))
+        parsed.where("error is not null").select("raw", "error").write.mode("overwrite").json(f"{store}/skipped/batch={number}")
+        arrived = good_events(parsed, F.struct(*place, "line").alias("arrived"))
+        table.write(upsert_events(table.before(number), arrived, "arrived"), number)
 
-    events = good_events(parsed).withWatermark("at", late).dropDuplicatesWithinWatermark(["project_id", "seq"])
-    bad.writeStream.format("json").option("path", f"{store}/skipped").option("checkpointLocation", f"{checkpoint}/skipped").trigger(availableNow=True).start().awaitTermination()
-    return events.writeStream.foreachBatch(merge).option("checkpointLocation", f"{checkpoint}/events").trigger(availableNow=True).start()
+    return lines.writeStream.foreachBatch(merge).option("checkpointLocation", f"{checkpoint}/events").trigger(**trigger or {"availableNow": True}).start()
 
 
 def coalesce_bursts(events: DataFrame, late: str = "1 minute") -> DataFrame:

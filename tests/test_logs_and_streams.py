@@ -104,10 +104,22 @@ def test_ingest_is_idempotent_and_quarantines(spark, tmp_path):
     (folder / "b.jsonl").write_text("\n".join([line(1, playhead=99), line(2)]))
     go()
     table = live.VersionedTable(spark, f"{store}/events").current()
-    assert sorted(x["seq"] for x in table.collect()) == [0, 1, 2]
+    assert {x["seq"]: x["playhead"] for x in table.collect()}[1] == 99 and sorted(x["seq"] for x in table.collect()) == [0, 1, 2]
     assert spark.read.json(f"{store}/skipped").count() == 1
 
 
+def test_ingest_keeps_late_events_and_the_last_write(spark, tmp_path):
+    folder, store = tmp_path / "in", tmp_path / "store"
+    folder.mkdir()
+    (folder / "a.jsonl").write_text("\n".join([line(0), line(1, playhead=1), line(1, playhead=2)]))
+    go = lambda: live.ingest_events(spark, str(folder), str(store), str(tmp_path / "ck")).awaitTermination()
+    go()
+    (folder / "b.jsonl").write_text("\n".join([line(7, at="2020-01-01T02:00:00.000Z"), line(0, playhead=5), line(0, playhead=6)]))
+    go()
+    log = {x["seq"]: x["playhead"] for x in live.VersionedTable(spark, f"{store}/events").current().collect()}
+    assert log.keys() == {0, 1, 7} and log[1] == 2 and log[0] == 6
+
+
 def test_streamed_edits_reach_the_timelines(spark, tmp_path):
     rng = random.Random(21)
     cases = [random_case(rng, t, KINDS) for t in range(6)]

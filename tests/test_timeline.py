@@ -53,3 +53,11 @@ def test_frame_budget_serves_every_clip_first(spark):
     df = spark.createDataFrame([(1, 0, "video", i, f"c{i}", 7, a, b * S, i, 1.0, True) for i, (a, b) in enumerate(spans)], COLS)
     got = dict(rows(g.allocate_frame_budget(df, 6).select("clip_id", "frames")))
     assert got == {"c0": 2, "c3": 2, "c1": 1, "c2": 1}
+
+
+def test_other_tracks_stand_in_order_of_start_and_id(spark):
+    rows_in = [(1, 0, "video", 0, "v1", 0, 5, 100, 1.0, True), (1, 0, "video", 1, "v2", 0, 7, 0, 1.0, True)]
+    rows_in += [(1, 1, "audio", 2, "clp_a", 0, 9, 500, 1.0, True), (1, 1, "audio", 3, "clp_b", 0, 9, 10, 1.0, True), (1, 1, "audio", 4, "clp_0", 0, 9, 500, 1.0, True)]
+    df = spark.createDataFrame(rows_in, "timeline_id bigint, track_id bigint, kind string, ord bigint, clip_id string, source_in bigint, source_out bigint, start bigint, speed double, enabled boolean")
+    got = [(r.clip_id, r.ord, r.start) for r in tl.reflow(df).orderBy("track_id", "ord").collect()]
+    assert got == [("v1", 0, 0), ("v2", 1, 5), ("clp_b", 2, 10), ("clp_0", 3, 500), ("clp_a", 4, 500)]
