@@ -221,6 +221,7 @@ LEVELS = f"""levels AS (
 
 # --- effects and keyframes of clips ----------------------------------------------------------
 
+#: Names of easings.
 EASING_NAMES = ("linear", "hold", "easeIn", "easeOut", "easeInOut")
 
 
@@ -272,6 +273,7 @@ KEYFRAMES = key_sql("raw_clips")
 
 # --- proposed edits: one op per clip row, aimed at clips that may or may not exist -----------
 
+#: Kinds of edits.
 OP_KINDS = (
     "trim", "split", "remove", "setEnabled", "move", "setSpeed", "addEffect", "setColor", "setTransform",
     "removeEffect", "setAudio", "setLabel", "duplicateClip", "insertClip",
