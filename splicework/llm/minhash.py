@@ -250,8 +250,8 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     words are similar to each other. Rows that repeat an id are rows like others; a class
     without any id has a null class_id. Other columns are not read.
     """
-    every = checkpoint(sketched(docs))
-    nodes = every.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_words").alias("n_words"), F.first("sketches").alias("sketches"))
+    every = docs.select("doc_id", node_of("text").alias("node"))
+    nodes = sketched(docs).where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_words").alias("n_words"), F.first("sketches").alias("sketches"))
     nodes = checkpoint(nodes)
     pairs = checkpoint(candidates(nodes, least))
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes.select("node", "first_id", brief("node").alias("id")), "id")
@@ -261,7 +261,7 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     least_id = rooted.groupBy("root").agg(F.min("first_id").alias("class_id"))
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     classed = lookup(rooted.select("node", "root"), least_id, ["root"], ["node"]).select("node", "root", "class_id").join(degree, "node", "left")
-    found = lookup(every.select("doc_id", "node", "n_words"), classed, ["node"], ["doc_id"], "left")
+    found = lookup(every, classed, ["node"], ["doc_id"], "left")
     alone = F.col("node").isNull()
     return found.select("doc_id", "node", "root", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
