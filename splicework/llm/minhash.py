@@ -16,9 +16,12 @@ from .common import SPREAD, boxed, checkpoint, lookup, table, unboxed
 from .registry import corpus_query
 
 #: Words of a run, runs kept by a sketch, sketches of a text, least similarity (1 - edits / longer length, in words).
-RUN, KEPT, SKETCHES, LEAST = 5, 2, 32, 0.8
-#: Texts up to this many words, in which one edit spoils most runs of five, are also sketched by runs of two.
-SHORT, SHORT_RUN, SHORT_SKETCHES = 64, 2, 32
+RUN, KEPT, SKETCHES, LEAST = 3, 2, 48, 0.8
+#: Texts of at most SHORT words are sketched by runs of two, longer ones by runs of three; up to BOTH words, which a text similar to a short one may have, by both.
+#: BOTH holds for any least similarity of LEAST or more.
+SHORT, SHORT_RUN, BOTH = 64, 2, 80
+#: Texts of fewer words are similar only if their words are equal: one edit is more than a fifth.
+TINY = 5
 #: In buckets of up to this many texts all pairs are compared; in larger ones each with two centres.
 SMALL_BUCKET = 12
 #: Word hashes a task remembers before it starts anew, and elements hashed at once.
@@ -73,6 +76,17 @@ def order_sketches(tokens: np.ndarray, run: int, sketches: int, kept: int = KEPT
     return out
 
 
+def text_sketches(tokens: np.ndarray) -> np.ndarray:
+    """All sketches of a text's word hashes."""
+    n = len(tokens)
+    if n < TINY:
+        return mix(run_hashes(np.r_[tokens, np.uint64(n)], n + 1))
+    own = [order_sketches(tokens, SHORT_RUN, SKETCHES)] if n <= BOTH else []
+    if n > SHORT:
+        own.append(order_sketches(tokens, RUN, SKETCHES))
+    return np.unique(np.concatenate(own))
+
+
 def sketched(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> doc_id, node (digest of the text, null for a null text), n_words, sketches.
 
@@ -95,10 +109,7 @@ def sketched(docs: DataFrame) -> DataFrame:
                 for word in set(words).difference(remembered):
                     remembered[word] = xxhash.xxh64_intdigest(word)
                 tokens = np.fromiter(map(remembered.__getitem__, words), dtype=np.uint64, count=len(words))
-                own = [order_sketches(tokens, RUN, SKETCHES) if len(words) >= RUN else mix(run_hashes(np.r_[tokens, np.uint64(len(words))], len(words) + 1))]
-                if RUN <= len(words) <= SHORT:
-                    own.append(order_sketches(tokens, SHORT_RUN, SHORT_SKETCHES))
-                found.append(np.unique(np.concatenate(own)).view(np.int64))
+                found.append(text_sketches(tokens).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("node"), pa.array(counts, pa.int64()), pa.array(found, pa.list_(pa.int64()))],
                 ["doc_id", "node", "n_words", "sketches"],

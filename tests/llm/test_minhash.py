@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pytest
+
 from splicework.llm import minhash
 
 
@@ -73,6 +76,30 @@ def test_large_family_is_one_class(spark):
     assert {r.class_id for r in found} == {0} and sum(r.links for r in found) / 2 < 400 * 100
 
 
+@pytest.mark.parametrize("words", [5, 6, 10, 30, 64, 65, 72, 80, 100, 200, 500, 2000])
+def test_scattered_edits_share_a_sketch(words):
+    """Of pairs with edits at random places nearly all meet, also at the least similarity."""
+    draw = np.random.default_rng(words)
+    hashes = lambda n: draw.integers(1, 1 << 62, n).astype(np.uint64)
+    for least in (0.8, 0.82, 0.85):
+        met = 0
+        for _ in range(150):
+            a = hashes(words)
+            b, at = a.copy(), draw.choice(words, int(words * (1 - least) + 1e-9), replace=False)
+            b[at] = hashes(len(at))
+            met += bool(np.intersect1d(minhash.text_sketches(a), minhash.text_sketches(b)).size)
+        assert met >= 0.96 * 150
+
+
+def test_lengths_around_the_run_switch_meet():
+    draw = np.random.default_rng(4)
+    met = 0
+    for _ in range(100):
+        a = draw.integers(1, 1 << 62, 72).astype(np.uint64)
+        met += bool(np.intersect1d(minhash.text_sketches(a), minhash.text_sketches(np.delete(a, draw.choice(72, 12, replace=False)))).size)
+    assert met >= 97
+
+
 def test_components(spark):
     draw = random.Random(7)
     links = [(bytes([draw.randint(0, 120)]), bytes([draw.randint(0, 120)])) for _ in range(90)] + [(bytes([150 + i]), bytes([151 + i])) for i in range(60)]
