@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,8 +23,10 @@ RUN, KEPT, SKETCHES, LEAST = 3, 2, 48, 0.8
 SHORT, SHORT_RUN, BOTH = 64, 2, 80
 #: Texts of fewer words are similar only if their words are equal: one edit is more than a fifth.
 TINY = 5
-#: In buckets of up to this many texts all pairs are compared; in larger ones each with two centres.
+#: In buckets of up to this many texts all pairs are compared; in larger ones each with two centres, then texts of different classes.
 SMALL_BUCKET = 12
+#: Texts of a large bucket that are compared at once with as many others, and counters of a text's words for it.
+BLOCK, BINS = 1024, 128
 #: Word hashes a task remembers before it starts anew, and elements hashed at once.
 REMEMBERED, AT_ONCE = 1 << 20, 1 << 21
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -87,8 +90,13 @@ def text_sketches(tokens: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(own))
 
 
+def word_counts(tokens: np.ndarray) -> bytes:
+    """How many words fall into each of BINS counters, up to 255."""
+    return np.minimum(np.bincount((tokens % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+
+
 def sketched(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) -> doc_id, node (digest of the text, null for a null text), n_words, sketches.
+    """(doc_id, text) -> doc_id, node (digest of the text, null for a null text), n_words, bins (word_counts), sketches.
 
     A text of fewer than five words is one run: a single edit in it is already more than a
     fifth of the text, so only those of equal words are similar.
@@ -97,11 +105,12 @@ def sketched(docs: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         remembered: dict[str, int] = {}
         for batch in batches:
-            counts, found = [], []
+            counts, bins, found = [], [], []
             for text in batch.column("text").to_pylist():
                 words = [] if text is None else text.split()
                 counts.append(len(words))
                 if text is None:
+                    bins.append(None)
                     found.append([])
                     continue
                 if len(remembered) > REMEMBERED:
@@ -109,15 +118,16 @@ def sketched(docs: DataFrame) -> DataFrame:
                 for word in set(words).difference(remembered):
                     remembered[word] = xxhash.xxh64_intdigest(word)
                 tokens = np.fromiter(map(remembered.__getitem__, words), dtype=np.uint64, count=len(words))
+                bins.append(word_counts(tokens))
                 found.append(text_sketches(tokens).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("node"), pa.array(counts, pa.int64()), pa.array(found, pa.list_(pa.int64()))],
-                ["doc_id", "node", "n_words", "sketches"],
+                [batch.column("doc_id"), batch.column("node"), pa.array(counts, pa.int64()), pa.array(bins, pa.binary()), pa.array(found, pa.list_(pa.int64()))],
+                ["doc_id", "node", "n_words", "bins", "sketches"],
             )
 
     asked = docs.select("doc_id", "text", node_of("text").alias("node"))
     kind = asked.schema["doc_id"].dataType.simpleString()
-    return asked.mapInArrow(work, f"doc_id {kind}, node binary, n_words long, sketches array<long>")
+    return asked.mapInArrow(work, f"doc_id {kind}, node binary, n_words long, bins binary, sketches array<long>")
 
 
 def node_of(text: str) -> Column:
@@ -130,19 +140,28 @@ def brief(node: str) -> Column:
     return F.xxhash64(F.col(node))
 
 
-def candidates(texts: DataFrame, least: float = LEAST) -> DataFrame:
-    """Pairs (a, b) of brief nodes that share a sketch and whose lengths allow the similarity.
+def buckets(texts: DataFrame) -> DataFrame:
+    """A row (sketch, id, n, low, near, size) for each text (brief node id, n words) of a sketch that others have too.
 
-    A small bucket gives all its pairs. In a large one every text is paired with two centres, the
-    least of its piece of the bucket and the least of all, so a family of any size gives at most
-    twice as many pairs as it has texts. Buckets are counted over pieces first; no task holds one.
+    ``low`` is the least text of the bucket, ``near`` the least of this text's piece of it. Buckets
+    are counted over pieces first; no task holds one.
     """
-    rows = texts.select(brief("node").alias("id"), F.col("n_words").cast("int").alias("n"), F.explode("sketches").alias("sketch")).withColumn("piece", F.pmod("id", F.lit(SPREAD)).cast("int"))
     who = F.struct("id", "n")
+    rows = texts.select(brief("node").alias("id"), F.col("n_words").cast("int").alias("n"), F.explode("sketches").alias("sketch")).withColumn("piece", F.pmod("id", F.lit(SPREAD)).cast("int"))
     pieces = rows.groupBy("sketch", "piece").agg(F.min(who).alias("near"), F.count("*").cast("int").alias("here"))
     same = Window.partitionBy("sketch")
     whole = pieces.select("sketch", "piece", "near", F.min("near").over(same).alias("low"), F.sum("here").over(same).alias("size")).where("size > 1")
-    members = rows.join(whole, ["sketch", "piece"])
+    return rows.join(whole, ["sketch", "piece"]).drop("piece")
+
+
+def candidates(members: DataFrame, least: float = LEAST) -> DataFrame:
+    """Pairs (a, b) of brief nodes that share a bucket and whose lengths allow the similarity.
+
+    A small bucket gives all its pairs. In a large one every text is paired with two centres, the
+    least of its piece of the bucket and the least of all, so a family of any size gives at most
+    twice as many pairs as it has texts; ``across`` finds what these pairs leave.
+    """
+    who = F.struct("id", "n")
     small = members.where(F.col("size") <= SMALL_BUCKET).groupBy("sketch").agg(F.collect_list(who).alias("all"))
     one = small.select(F.explode("all").alias("x"), "all")
     within = one.select("x", F.explode(F.filter("all", lambda y: y["id"] > F.col("x.id"))).alias("y"))
@@ -151,6 +170,47 @@ def candidates(texts: DataFrame, least: float = LEAST) -> DataFrame:
     return within.unionByName(large).where(fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
+def across(members: DataFrame, classed: DataFrame, least: float = LEAST) -> DataFrame:
+    """Pairs (a, b) of brief nodes that share a large bucket, are in different classes so far and may be similar.
+
+    ``classed`` has (id, kin: hash of the class, bins). Every pair of a large bucket is looked at, in
+    blocks of BLOCK by BLOCK texts, unless both are in one class already or their lengths are too
+    far apart: a text stands under its band of lengths and the next, as similar ones are at
+    most one band apart. A pair is left out only where the counts of words prove too many edits.
+    """
+    width = math.log(1 / least) * 1.0001 if least < 0.99 else 0.01
+    band = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / F.lit(width)).cast("int")
+    rows = members.where(F.col("size") > SMALL_BUCKET).select("sketch", "id", "n").join(classed.select("id", "kin"), "id")
+    rows = rows.select("sketch", "id", "n", "kin", band.alias("band"), F.explode(F.array(band, band + 1)).alias("at"), F.pmod("id", F.lit(SPREAD)).cast("int").alias("piece"))
+    pieces = rows.groupBy("sketch", "at", "piece").agg(F.min("kin").alias("low"), F.max("kin").alias("high"), F.count("*").alias("here"))
+    same = Window.partitionBy("sketch", "at")
+    whole = pieces.select("sketch", "at", "piece", F.min("low").over(same).alias("low"), F.max("high").over(same).alias("high"), F.ceil(F.sum("here").over(same) / BLOCK).cast("int").alias("blocks"))
+    mixed = rows.join(whole.where("low != high").drop("low", "high"), ["sketch", "at", "piece"]).join(classed.select("id", "kin", "bins"), ["id", "kin"])
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    cells = mixed.select("sketch", "at", "id", "n", "kin", "bins", (F.col("band") == F.col("at")).alias("here"), own.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = cells.select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+    def work(cell: pa.Table) -> pa.Table:
+        ids, n, kin, here, block = (cell.column(c).to_numpy() for c in ("id", "n", "kin", "here", "block"))
+        bins = np.frombuffer(b"".join(cell.column("bins").to_pylist()), dtype=np.uint8).reshape(-1, BINS).astype(np.int16)
+        i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
+        second, left, right = np.flatnonzero(block == j), [], []
+        for place, x in enumerate(np.flatnonzero(block == i)):
+            y = second[place + 1 :] if i == j else second
+            y = y[(kin[y] != kin[x]) & (here[y] | here[x])]
+            longest = np.maximum(n[y], n[x])
+            y, longest = (v[np.minimum(n[y], n[x]) >= longest * least] for v in (y, longest))
+            gap = bins[y] - bins[x]
+            edits = (np.abs(gap).sum(1, dtype=np.int64) + np.abs(gap.sum(1, dtype=np.int64))) // 2  # the larger of words only here and only there
+            y = y[edits <= np.floor(longest * (1 - least) + 1e-9)]
+            left.append(np.minimum(ids[x], ids[y]))
+            right.append(np.maximum(ids[x], ids[y]))
+        empty = np.empty(0, dtype=np.int64)
+        return pa.table({"a": np.concatenate([empty, *left]), "b": np.concatenate([empty, *right])})
+
+    return cells.groupBy("sketch", "at", "i", "j").applyInArrow(work, "a long, b long").distinct()
+
+
 def banded_distance(a: list[str], b: list[str], most: int) -> int:
     """Edits in words from ``a`` to ``b``, or most + 1 if there are more than ``most``.
 
@@ -262,12 +322,21 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     without any id has a null class_id. Other columns are not read.
     """
     every = docs.select("doc_id", node_of("text").alias("node"))
-    nodes = sketched(docs).where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_words").alias("n_words"), F.first("sketches").alias("sketches"))
+    nodes = sketched(docs).where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n_words").alias("n_words"), F.first("bins").alias("bins"), F.first("sketches").alias("sketches"))
     nodes = checkpoint(nodes)
-    pairs = checkpoint(candidates(nodes, least))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes.select("node", "first_id", brief("node").alias("id")), "id")
-    links = checkpoint(verified(pairs, checkpoint(texts_of(docs, wanted)), least))
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes.select("node", "first_id", brief("node").alias("id")), "id")
+        return checkpoint(verified(pairs, checkpoint(texts_of(docs, wanted)), least))
+
+    members = checkpoint(buckets(nodes))
+    links = linked(checkpoint(candidates(members, least)))
     roots = components(links)
+    classed = nodes.join(roots, "node", "left").select(brief("node").alias("id"), F.xxhash64(F.coalesce("root", "node")).alias("kin"), "bins")
+    further = checkpoint(across(members, classed, least))
+    if not further.isEmpty():
+        links = checkpoint(links.unionByName(linked(further)))
+        roots = components(links)
     rooted = nodes.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least_id = rooted.groupBy("root").agg(F.min("first_id").alias("class_id"))
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))

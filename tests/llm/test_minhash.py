@@ -100,6 +100,24 @@ def test_lengths_around_the_run_switch_meet():
     assert met >= 97
 
 
+def test_large_buckets_lose_no_pair(spark, monkeypatch):
+    """A wide family, whose copies are like the original only, and pairs that share a frame with all others."""
+    draw = random.Random(12)
+    new = lambda n: [f"n{draw.randrange(1 << 40)}" for _ in range(n)]
+    spoilt = lambda own, n: [new(1)[0] if i in at else w for at in [set(draw.sample(range(len(own)), n))] for i, w in enumerate(own)]
+    own = new(200)
+    wide = [" ".join(own)] + [" ".join(spoilt(own, 26)) for _ in range(60)]
+    frame = new(120)
+    framed = [" ".join(frame + spoilt(body, n)) for body in (new(80) for _ in range(40)) for n in (0, 4)]
+    df = spark.createDataFrame(list(enumerate(wide + framed)), "doc_id long, text string")
+    want = classes(wide + framed)
+    assert len(set(want)) == 41
+    for block in (minhash.BLOCK, 7):
+        monkeypatch.setattr(minhash, "BLOCK", block)
+        got = {r.doc_id: r.class_id for r in minhash.near_duplicates(df).collect()}
+        assert [got[i] for i in range(len(want))] == want
+
+
 def test_components(spark):
     draw = random.Random(7)
     links = [(bytes([draw.randint(0, 120)]), bytes([draw.randint(0, 120)])) for _ in range(90)] + [(bytes([150 + i]), bytes([151 + i])) for i in range(60)]
