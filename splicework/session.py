@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+import weakref
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows one key may hold before its ordered work is split over several tasks.
 HEAVY_ROWS = 4_000_000
@@ -49,16 +52,55 @@ def segment_rows(spark: SparkSession) -> int:
     return setting(spark, "segmentRows", SEGMENT_ROWS)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage through the cluster's shared checkpoint folder (reliable, not local)."""
-    spark = df.sparkSession
+#: Folder of each frame that ``checkpoint`` has written and that is still in use.
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share; a local one only on one machine."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         shared = context.getConf().get("spark.checkpoint.dir")
         if not shared and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="splicework-ckpt-"))
-    return df.checkpoint(eager=True)
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the checkpoint folder; it goes when the session's JVM ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut lineage through a table in the shared checkpoint folder, written and read again.
+
+    Unlike a frame of ``DataFrame.checkpoint``, which keeps the size estimate of the plan it came
+    from, the result is as large for the optimizer as its files are, so estimates don't grow from
+    round to round of a loop.
+    """
+    path = scratch(df.sparkSession, "table")
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``checkpoint``, and the number of rows, counted while they were written."""
+    seen = Observation()
+    out = checkpoint(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    return out, seen.get["rows"]
+
+
+def release(*frames: DataFrame) -> None:
+    """Remove what ``checkpoint`` wrote for these frames; nothing may read them any more."""
+    for df in frames:
+        if found := _WRITTEN.pop(df, None):
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(found)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_bytes(spark: SparkSession) -> int:
