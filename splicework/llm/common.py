@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
+from ..session import checkpoint, checkpoint_folder, counted, release, scratch
 
-__all__ = ["BROADCAST_ROWS", "SPREAD", "boxed", "checkpoint", "checkpoint_folder", "lookup", "small_or_spread", "table", "unboxed", "words"]
+__all__ = ["BROADCAST_ROWS", "SPREAD", "boxed", "checkpoint", "checkpoint_folder", "counted", "lookup", "release", "scratch", "small_or_spread", "table", "unboxed", "words"]
 
 #: Pieces that the rows of one key are dealt over before they meet that key's single row.
 SPREAD = 64
@@ -19,12 +19,6 @@ BROADCAST_ROWS = 20_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of this session's checkpoints."""
-    checkpoint(spark.range(1))  # chooses it in a session that has none yet
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPREAD, boxed, checkpoint, lookup, table, unboxed
+from .common import SPREAD, boxed, checkpoint, counted, lookup, release, table, unboxed
 from .registry import corpus_query
 
 #: Words of a run, runs kept by a sketch, sketches of a text, least similarity (1 - edits / longer length, in words).
@@ -27,8 +27,8 @@ TINY = 5
 SMALL_BUCKET = 12
 #: Texts of a large bucket that are compared at once with as many others, and counters of a text's words for it.
 BLOCK, BINS = 1024, 128
-#: Word hashes a task remembers before it starts anew, and elements hashed at once.
-REMEMBERED, AT_ONCE = 1 << 20, 1 << 21
+#: Word hashes a task remembers before it starts anew, and words of the texts that are sketched at once.
+REMEMBERED, AT_ONCE = 1 << 20, 1 << 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -47,47 +47,61 @@ def run_hashes(tokens: np.ndarray, run: int) -> np.ndarray:
     return out
 
 
-def labelled(runs: np.ndarray) -> np.ndarray:
-    """Hash of each run together with how often it occurred before."""
-    order = np.argsort(runs, kind="stable")
-    ranked = runs[order]
-    fresh = np.r_[True, ranked[1:] != ranked[:-1]]
+def labelled(runs: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Hash of each run together with how often it occurred before in its text (``text``: the text's number, ascending)."""
+    order = np.lexsort((runs, text))
+    ranked, owner = runs[order], text[order]
     place = np.arange(len(runs))
+    fresh = np.r_[True, (ranked[1:] != ranked[:-1]) | (owner[1:] != owner[:-1])]
     seen = place - np.maximum.accumulate(np.where(fresh, place, 0))
     out = np.empty_like(runs)
     out[order] = mix(ranked + seen.astype(np.uint64) * _ODD)
     return out
 
 
-def order_sketches(tokens: np.ndarray, run: int, sketches: int, kept: int = KEPT) -> np.ndarray:
-    """For each of ``sketches`` random orders the ``kept`` least labelled runs, hashed in text order."""
-    runs = run_hashes(tokens, run)
-    if not len(runs):
-        return np.empty(0, dtype=np.uint64)
-    marks, seeds = labelled(runs), mix(np.arange(1, sketches + 1, dtype=np.uint64) * _ODD + np.uint64(run))
-    rows, step = [], max(1, AT_ONCE // len(runs))
-    for at in range(0, sketches, step):
-        drawn = mix(marks[None, :] ^ seeds[at : at + step, None])
-        if len(runs) > kept:
-            drawn = np.argpartition(drawn, kept, axis=1)[:, :kept]
-        else:
-            drawn = np.broadcast_to(np.arange(len(runs)), (len(drawn), len(runs)))
-        rows.append(np.sort(drawn, axis=1))
-    out = seeds.copy()
-    for column in np.vstack(rows).T:
-        out = mix(out * _ODD + runs[column])
+def order_sketches(tokens: np.ndarray, lengths: np.ndarray, run: int, sketches: int = SKETCHES) -> np.ndarray:
+    """A row per text (the next ``lengths`` of the ``tokens``, at least run + 1 each) and a column per random order: the hash,
+    in text order, of the two labelled runs that come first in it.
+
+    The runs of all texts lie in one array. An order multiplies their hashes by an odd number; the lowest bits give
+    way to the run's place, so that the least number of a text's stretch says where it stands as well.
+    """
+    n = lengths - run + 1
+    first = np.r_[0, np.cumsum(n)[:-1]]
+    text = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(text)) - first[text]
+    at = place + (np.r_[0, np.cumsum(lengths)[:-1]])[text]
+    runs = run_hashes(tokens, run)[at]
+    marks = labelled(runs, text)
+    low = np.uint64(1 << int(place.max()).bit_length()) - np.uint64(1)
+    place, high = place.astype(np.uint64), ~low
+    out = np.empty((len(n), sketches), dtype=np.uint64)
+    seeds = mix(np.arange(1, sketches + 1, dtype=np.uint64) * _ODD + np.uint64(run))
+    for k, (seed, start) in enumerate(zip(seeds, seeds * _ODD, strict=True)):
+        drawn = marks * (seed | np.uint64(1))
+        drawn &= high
+        drawn |= place
+        one = (np.minimum.reduceat(drawn, first) & low).astype(np.int64) + first
+        drawn[one] = ~np.uint64(0)
+        two = (np.minimum.reduceat(drawn, first) & low).astype(np.int64) + first
+        hashed = mix(start + runs[np.minimum(one, two)])
+        out[:, k] = mix(hashed * _ODD + runs[np.maximum(one, two)])
     return out
 
 
-def text_sketches(tokens: np.ndarray) -> np.ndarray:
-    """All sketches of a text's word hashes."""
-    n = len(tokens)
-    if n < TINY:
-        return mix(run_hashes(np.r_[tokens, np.uint64(n)], n + 1))
-    own = [order_sketches(tokens, SHORT_RUN, SKETCHES)] if n <= BOTH else []
-    if n > SHORT:
-        own.append(order_sketches(tokens, RUN, SKETCHES))
-    return np.unique(np.concatenate(own))
+def sketches_of(texts: list[np.ndarray]) -> list[np.ndarray]:
+    """All sketches of each text's word hashes."""
+    lengths = np.array([len(t) for t in texts], dtype=np.int64)
+    own: list[list[np.ndarray]] = [[] for _ in texts]
+    for run, fits in ((SHORT_RUN, (lengths >= TINY) & (lengths <= BOTH)), (RUN, lengths > SHORT)):
+        chosen = np.flatnonzero(fits)
+        if len(chosen):
+            for i, found in zip(chosen, order_sketches(np.concatenate([texts[i] for i in chosen]), lengths[chosen], run), strict=True):
+                own[i].append(found)
+    for i in np.flatnonzero(lengths < TINY):
+        n = len(texts[i])
+        own[i].append(mix(run_hashes(np.r_[texts[i], np.uint64(n)], n + 1)))
+    return [np.unique(np.concatenate(x)) for x in own]
 
 
 def word_counts(tokens: np.ndarray) -> bytes:
@@ -105,13 +119,12 @@ def sketched(docs: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         remembered: dict[str, int] = {}
         for batch in batches:
-            counts, bins, found = [], [], []
+            counts, bins, found, waiting, held = [], [], [], [], 0
             for text in batch.column("text").to_pylist():
                 words = [] if text is None else text.split()
                 counts.append(len(words))
                 if text is None:
                     bins.append(None)
-                    found.append([])
                     continue
                 if len(remembered) > REMEMBERED:
                     remembered.clear()
@@ -119,7 +132,13 @@ def sketched(docs: DataFrame) -> DataFrame:
                     remembered[word] = xxhash.xxh64_intdigest(word)
                 tokens = np.fromiter(map(remembered.__getitem__, words), dtype=np.uint64, count=len(words))
                 bins.append(word_counts(tokens))
-                found.append(text_sketches(tokens).view(np.int64))
+                waiting.append(tokens)
+                held += len(tokens)
+                if held > AT_ONCE:
+                    found += sketches_of(waiting)
+                    waiting, held = [], 0
+            each = iter(found + sketches_of(waiting))
+            found = [[] if b is None else next(each).view(np.int64) for b in bins]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("node"), pa.array(counts, pa.int64()), pa.array(bins, pa.binary()), pa.array(found, pa.list_(pa.int64()))],
                 ["doc_id", "node", "n_words", "bins", "sketches"],
@@ -291,8 +310,8 @@ def components(links: DataFrame) -> DataFrame:
     node go. A component loses a share of its nodes in every round, whatever its shape. Then the
     hooks are followed back.
     """
-    hooks, left = [], checkpoint(links.select("a", "b").where("a != b").distinct())
-    while not left.isEmpty():
+    hooks, (left, rows) = [], counted(links.select("a", "b").where("a != b").distinct())
+    while rows:
         place = lambda n, number=len(hooks): F.struct(F.xxhash64(F.lit(number), n).alias("drawn"), F.col(n).alias("node"))
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         first = both.groupBy("a").agg(F.min(place("b")).alias("to"))
@@ -300,14 +319,18 @@ def components(links: DataFrame) -> DataFrame:
         hooks.append(hook)
         as_of = lambda n, hook=hook: hook.select(F.col("node").alias(n), F.col("to").alias(f"to_{n}"))
         moved = lookup(lookup(left, as_of("a"), ["a"], ["b"]), as_of("b"), ["b"], ["a"])
-        left = checkpoint(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).where("a != b").distinct())
+        before = left
+        left, rows = counted(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).where("a != b").distinct())
+        release(before)
+    release(left)
     if not hooks:
         return links.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
     roots = hooks.pop()
     while hooks:
-        first = hooks.pop()
-        followed = lookup(first, roots.select(F.col("node").alias("to"), F.col("to").alias("root")), ["to"], ["node"], "left")
+        first, later = hooks.pop(), roots
+        followed = lookup(first, later.select(F.col("node").alias("to"), F.col("to").alias("root")), ["to"], ["node"], "left")
         roots = checkpoint(followed.select("node", F.coalesce("root", "to").alias("to")))
+        release(first, later)
     return roots.select("node", F.col("to").alias("root"))
 
 
@@ -327,14 +350,18 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
 
     def linked(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(nodes.select("node", "first_id", brief("node").alias("id")), "id")
-        return checkpoint(verified(pairs, checkpoint(texts_of(docs, wanted)), least))
+        texts = checkpoint(texts_of(docs, wanted))
+        found = checkpoint(verified(pairs, texts, least))
+        release(pairs, texts)
+        return found
 
     members = checkpoint(buckets(nodes))
     links = linked(checkpoint(candidates(members, least)))
     roots = components(links)
     classed = nodes.join(roots, "node", "left").select(brief("node").alias("id"), F.xxhash64(F.coalesce("root", "node")).alias("kin"), "bins")
-    further = checkpoint(across(members, classed, least))
-    if not further.isEmpty():
+    further, rows = counted(across(members, classed, least))
+    release(members)
+    if rows:
         links = checkpoint(links.unionByName(linked(further)))
         roots = components(links)
     rooted = nodes.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

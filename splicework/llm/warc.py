@@ -5,16 +5,16 @@ from __future__ import annotations
 import base64
 import io
 import struct
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
+import uuid
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, checkpoint_folder, lookup, table
+from .common import checkpoint, lookup, scratch, table
 from .registry import corpus_query
 
 # Fixed values of the formats: the skippable frame that holds a dictionary, a frame's first bytes,
@@ -215,5 +215,5 @@ SELECT page_id, payload_bytes, {_base32('h')} AS payload_digest, CASE WHEN page_
 
 @corpus_query("op6_warc", sql=WARC_SQL)
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = archive(table(spark, sf_dir, "pages"), f"{checkpoint_folder(spark)}/archives-{uuid.uuid4().hex}")
+    paths = archive(table(spark, sf_dir, "pages"), scratch(spark, "archives"))
     return read_archives(paths).drop("url", "payload")
