@@ -6,7 +6,7 @@ import importlib
 
 from .registry import CORPUS, CorpusQuery
 
-_MODULES = ("ann", "chat", "decontaminate", "language", "line_dedup", "minhash", "mixing", "secrets", "urls", "warc")
+_MODULES = ("ann", "chat", "decontaminate", "language", "line_dedup", "minhash", "mixing", "phrases", "quality", "secrets", "tries", "urls", "warc")
 
 
 def catalog() -> dict[str, CorpusQuery]:
