@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import floor_div, quotient
+from ..functions.numeric import floor_div
 from ..functions.ranges import source_to_output
+from .blocks import peak_and_typical
 from .scan import max_before, ordinals, scan
-from .stats import ranked
 
 BIN_US = 10_000_000
 
@@ -60,25 +60,6 @@ def onsets_in_clips(onsets: DataFrame, clips: DataFrame) -> DataFrame:
     return inside.select("timeline_id", "clip_id", source_to_output("__t").alias("t"), "strength")
 
 
-def windows_max_and_typical(windows: DataFrame, levels: DataFrame, fraction: float = 0.5, block: int = 256, typical: bool = True) -> DataFrame:
-    """Peak (and lower percentile) of the hops ``h0..h1`` of a source, per distinct window.
-
-    Windows are asked for once each, however many clips share them.
-    """
-    want = windows.select("source_id", "h0", "h1").distinct().where("h1 >= h0")
-    spread = want.withColumn("__b", F.explode(F.sequence(quotient("h0", block), quotient("h1", block))))
-    rows = levels.select("source_id", "hop", "db", quotient("hop", block).alias("__b"))
-    hits = spread.join(rows, ["source_id", "__b"]).where("hop between h0 and h1").select("source_id", "h0", "h1", "db")
-    keys = ["source_id", "h0", "h1"]
-    if not typical:
-        return hits.groupBy(*keys).agg(F.max("db").alias("peak_db"))
-    placed = ranked(hits, keys, "db")
-    wanted = F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(fraction)))
-    return placed.groupBy(*keys).agg(
-        F.max("db").alias("peak_db"), F.max(F.when(F.col("rank") == wanted, F.col("db"))).alias("typical_db")
-    )
-
-
 def clip_levels(clips: DataFrame, source_levels: DataFrame, levels: DataFrame) -> DataFrame:
     """Peak and typical level of the footage each clip uses, next to its source's median.
 
@@ -89,7 +70,7 @@ def clip_levels(clips: DataFrame, source_levels: DataFrame, levels: DataFrame) -
         "h0": floor_div("source_in", F.col("hop_us")),
         "h1": -floor_div(-F.col("source_out"), F.col("hop_us")) - 1,
     })
-    found = windows_max_and_typical(ranged, levels)
+    found = peak_and_typical(ranged, levels)
     return ranged.join(found, ["source_id", "h0", "h1"], "left").select(
         "timeline_id", "clip_id", "source_id", "peak_db", "typical_db", F.col("median_db").alias("source_median_db")
     )

@@ -10,7 +10,8 @@ from ..functions.levels import SILENCE_DB, scale_db
 from ..functions.numeric import floor_div, js_round
 from ..functions.ranges import output_to_source, zero
 from .asof import asof_backward, asof_forward, asof_interpolate
-from .intervals import owners, points_in_ranges, windows_max_and_typical
+from .blocks import loudest
+from .intervals import owners, points_in_ranges
 from .timeline import TRACK, timeline_duration
 
 FRAMING = ["scale", "x", "y", "rotation"]
@@ -147,7 +148,7 @@ def downsample_levels(columns: DataFrame, clips: DataFrame, levels: DataFrame, s
     first = F.greatest(zero(), F.floor(F.least("__from", "__to") / F.col("hop_us")).cast("bigint"))
     end = F.greatest(first, F.ceil(F.greatest("__from", "__to") / F.col("hop_us")).cast("bigint") - 1)
     rows = rows.withColumns({"h0": first, "h1": F.least(F.col("hops") - 1, end)})
-    loud = windows_max_and_typical(rows.where("h0 is not null"), levels, typical=False).withColumnRenamed("peak_db", "__loud")
-    loudest = F.greatest(F.col("__loud"), F.lit(SILENCE_DB))
-    level = F.when(F.col("__loud").isNull(), F.lit(0.0)).otherwise(scale_db(loudest, "peak_db", "median_db"))
+    loud = loudest(rows.where("h0 is not null"), levels).withColumnRenamed("peak_db", "__loud")
+    shown = F.greatest(F.col("__loud"), F.lit(SILENCE_DB))
+    level = F.when(F.col("__loud").isNull(), F.lit(0.0)).otherwise(scale_db(shown, "peak_db", "median_db"))
     return rows.join(loud, ["source_id", "h0", "h1"], "left").select("timeline_id", "column", level.alias("level"))

@@ -51,6 +51,11 @@ def min_before(value) -> Scan:
     return Scan("min_before", value)
 
 
+def min_all(value) -> Scan:
+    """Least value of the whole key."""
+    return Scan("min_all", value)
+
+
 def last_known(value) -> Scan:
     """Last non-null value at or before this row."""
     return Scan("last_to", value)
@@ -160,6 +165,7 @@ def _local(spec: Scan, inside) -> Column:
         "sum_before": lambda: F.sum(value).over(before),
         "max_before": lambda: F.max(value).over(before),
         "min_before": lambda: F.min(value).over(before),
+        "min_all": lambda: F.min(value).over(inside.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)),
         "last_to": lambda: F.last(value, ignorenulls=True).over(upto),
         "last_before": lambda: F.last(value, ignorenulls=True).over(before),
         "next_from": lambda: F.first(value, ignorenulls=True).over(onward),
@@ -177,6 +183,7 @@ def _total(spec: Scan, position: Column) -> Column:
         "sum_before": lambda: F.sum(value),
         "max_before": lambda: F.max(value),
         "min_before": lambda: F.min(value),
+        "min_all": lambda: F.min(value),
         "last_to": lambda: F.max_by(value, known),
         "last_before": lambda: F.max_by(value, known),
         "next_from": lambda: F.min_by(value, known),
@@ -193,6 +200,7 @@ def _carry(spec: Scan, total: Column, across) -> Column:
         "sum_before": lambda: F.sum(total).over(before),
         "max_before": lambda: F.max(total).over(before),
         "min_before": lambda: F.min(total).over(before),
+        "min_all": lambda: F.min(total).over(across.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)),
         "last_to": lambda: F.last(total, ignorenulls=True).over(before),
         "last_before": lambda: F.last(total, ignorenulls=True).over(before),
         "next_from": lambda: F.first(total, ignorenulls=True).over(after),
@@ -211,7 +219,7 @@ def _finish(df: DataFrame, wanted: dict[str, Scan], carried: bool) -> DataFrame:
             value = total if carry is None else total + F.coalesce(carry, F.lit(0))
         elif spec.kind == "max_before":
             value = local if carry is None else F.greatest(local, carry)
-        elif spec.kind == "min_before":
+        elif spec.kind in ("min_before", "min_all"):
             value = local if carry is None else F.least(local, carry)
         else:
             value = local if carry is None else F.coalesce(local, carry)

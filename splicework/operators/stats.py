@@ -5,18 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scan import ordinals, scan, sum_before
-
-
-def ranked(df: DataFrame, keys: list[str], value: str, coarse: Column | None = None) -> DataFrame:
-    """Rows with their 0-based rank by ``value`` within ``keys`` and the row count ``n``.
-
-    ``coarse`` must rise with the value; by default it is the value's floor.
-    """
-    step = coarse if coarse is not None else F.floor(F.col(value) * 64).cast("bigint")
-    placed = ordinals(df, keys, [value], "rank", coarse=step)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    return placed.join(sizes, keys)
+from .scan import scan, sum_before
 
 
 def counted(df: DataFrame, keys: list[str], value: str, coarse: Column | None = None) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions.frames import frame_step, frame_us, snap_to_frame
-from ..functions.numeric import js_round
+from ..functions.numeric import js_round, quotient
 from ..functions.ranges import output_length, source_length, zero
-from .scan import following, max_before, ordinals, previous, scan, sum_before
+from .scan import following, max_before, min_all, ordinals, previous, scan, sum_before
 
 TRACK = ["timeline_id", "track_id"]
 
@@ -26,15 +27,15 @@ def reflow(clips: DataFrame) -> DataFrame:
     Disabled clips sit at the cursor without moving it. Clips of other tracks keep their start and
     stand in the order of start and id; the track's lowest ``ord`` counts on from there.
     """
-    kept = clips.where(F.col("source_out") > F.col("source_in")).withColumn("out_len", output_length())
-    used = F.when(F.col("enabled"), F.col("out_len")).otherwise(zero())
     video = F.coalesce(F.col("kind") == "video", F.lit(False))
-    reflowed = scan(kept.where(video), TRACK, ["ord"], ordinal="ord", __before=sum_before(used)).withColumn("start", F.col("__before").cast("bigint")).drop("__before")
-    others = kept.where(~video)
-    lowest = others.groupBy(*TRACK).agg(F.min("ord").alias("__lowest"))
-    ranked = ordinals(others, TRACK, ["start", "clip_id"], "__nth", coarse=F.floor(F.col("start") / 60_000_000)).join(lowest, TRACK)
-    placed = ranked.withColumn("ord", (F.col("__lowest") + F.col("__nth")).cast(kept.schema["ord"].dataType))
-    return reflowed.unionByName(placed.select(*reflowed.columns))
+    kept = clips.where(F.col("source_out") > F.col("source_in")).withColumns({"out_len": output_length(), "__video": video})
+    # Both kinds in one pass: video in its stored order, the rest by start and id.
+    keyed = kept.withColumns({"__key": F.when(video, F.col("ord")).otherwise(F.col("start")).cast("bigint"), "__tie": F.when(~video, F.col("clip_id"))})
+    coarse = F.when(video, quotient("ord", session.segment_rows(clips.sparkSession))).otherwise(quotient("start", 60_000_000))
+    used = F.when(F.col("__video") & F.col("enabled"), F.col("out_len")).otherwise(zero())
+    placed = scan(keyed, [*TRACK, "__video"], ["__key", "__tie"], coarse=coarse, __before=sum_before(used), __nth=sum_before(F.lit(1)), __lowest=min_all(F.col("ord")))
+    moved = {"start": F.when(F.col("__video"), F.col("__before").cast("bigint")).otherwise(F.col("start")), "ord": F.when(F.col("__video"), F.col("ord")).otherwise(F.col("__lowest") + F.col("__nth")).cast(clips.schema["ord"].dataType)}
+    return placed.withColumns(moved).drop("__video", "__key", "__tie", "__before", "__nth", "__lowest")
 
 
 def timeline_duration(clips: DataFrame, extra_keys: tuple[str, ...] = ()) -> DataFrame:

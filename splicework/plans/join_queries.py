@@ -11,13 +11,13 @@ from .signal_queries import GAP_MS, HOP, KEPT, MEDIANS, ONSETS, QUIET
 from .timeline_queries import TRACKS, placed, tracks
 from .views import CLIPS, KEYFRAMES, LEVELS, PROJECTS, SOURCES, sql_round
 
-# Clips over the level series: the recording of a clip is the user its part falls on.
+# Clips over the level series: a clip's recording is the user of the same number; clips of parts without one have no levels.
 USED = CLIPS + """,
-used AS (SELECT c.* REPLACE (source_id % 400 AS source_id) FROM clips c)"""
+used AS (SELECT * FROM clips)"""
 
 
 def used(spark, d):
-    return placed(spark, d).withColumn("source_id", F.pmod("source_id", F.lit(400)))
+    return placed(spark, d)
 
 
 def to_out(t: str) -> str:
@@ -207,10 +207,10 @@ def output_frames(spark, d):
     return frames.groupBy("timeline_id").agg(F.count(F.lit(1)).alias("frames"), F.sum("at").alias("total_us"), F.max("at").alias("last_us"))
 
 
-# A picture every 0.7 s of source, from a little before the clip to a little past it.
+# A picture every 0.7 s of source, from 3 s before the clip to 2 s past it, shown once a second of output.
 @query("resample_constant_rate", "J18", sql=f"""WITH {CLIPS},
-g AS (SELECT clip_id, start + CAST(range AS BIGINT) * 1000000 AS "at" FROM clips, range(0, 60) WHERE enabled AND kind = 'video' AND range * 1000000 < out_len),
-f AS (SELECT clip_id, start, source_in, source_out, speed, source_in - 3000000 + CAST(range AS BIGINT) * 700000 AS src FROM clips, range(0, 40) WHERE enabled AND kind = 'video'),
+g AS (SELECT clip_id, start + i * 1000000 AS "at" FROM (SELECT clip_id, start, unnest(range(0, (out_len + 999999) // 1000000)) AS i FROM clips WHERE enabled AND kind = 'video')),
+f AS (SELECT clip_id, start, source_in, source_out, speed, source_in - 3000000 + i * 700000 AS src FROM (SELECT *, unnest(range(0, (source_len + 5000000) // 700000 + 1)) AS i FROM clips WHERE enabled AND kind = 'video')),
 u AS (SELECT * FROM f WHERE src + 1000000 >= source_in),
 s AS (SELECT *, min(CASE WHEN src >= source_out THEN src END) OVER (PARTITION BY clip_id) AS stop FROM u),
 m AS (SELECT clip_id, src, start + (src - source_in) / speed AS reach FROM s WHERE stop IS NULL OR src <= stop),
@@ -219,8 +219,8 @@ SELECT g.clip_id, g."at", coalesce(m.src, l.last_src) AS source_us FROM g ASOF L
 def resample_constant_rate(spark, d):
     shown = placed(spark, d).where("enabled and kind = 'video'")
     index = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), n))
-    grid = shown.where("out_len > 0").select("clip_id", "start", index(F.least(F.lit(59), F.call_function("div", F.col("out_len") - 1, F.lit(1_000_000)))).alias("i"))
-    frames = shown.select("clip_id", "start", "source_in", "source_out", "speed", F.lit(1_000_000).alias("step_us"), index(F.lit(39).cast("bigint")).alias("i"))
+    grid = shown.where("out_len > 0").select("clip_id", "start", index(F.call_function("div", F.col("out_len") - 1, F.lit(1_000_000))).alias("i"))
+    frames = shown.select("clip_id", "start", "source_in", "source_out", "speed", F.lit(1_000_000).alias("step_us"), index(F.call_function("div", F.col("source_out") - F.col("source_in") + 5_000_000, F.lit(700_000))).alias("i"))
     return sampling.resample_constant_rate(
         grid.select("clip_id", (F.col("start") + F.col("i") * 1_000_000).alias("at")),
         frames.withColumn("source_us", F.col("source_in") - 3_000_000 + F.col("i") * 700_000),
@@ -239,7 +239,8 @@ def volume_automation(spark, d):
 
 @query("downsample_levels", "G5", "F14", sql=f"""WITH {USED}, {LEVELS}, {MEDIANS},
 own AS (SELECT *, coalesce(max(start + out_len) OVER (PARTITION BY timeline_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1000000000000) AS f, start + out_len AS o FROM used WHERE kind = 'video'),
-cols AS (SELECT o_orderkey AS timeline_id, CAST(range AS BIGINT) AS "column", 500000 + CAST(range AS BIGINT) * 4000000 AS "at" FROM orders, range(0, 12)),
+ends AS (SELECT timeline_id, CAST(coalesce(max(CASE WHEN enabled THEN start + out_len END), 0) AS BIGINT) AS e FROM clips GROUP BY 1),
+cols AS (SELECT timeline_id, "column", 500000 + "column" * 4000000 AS "at" FROM (SELECT timeline_id, unnest(range(0, (e + 3499999) // 4000000)) AS "column" FROM ends)),
 j AS (SELECT c.timeline_id, "column", "at", w.* EXCLUDE (timeline_id) FROM cols c LEFT JOIN own w ON w.timeline_id = c.timeline_id AND w.o > w.f AND "at" >= w.f AND "at" < w.o),
 b AS (SELECT *, source_in + ("at" - start) * speed AS a0 FROM j WHERE enabled AND "at" >= start),
 r AS (SELECT b.*, least(CAST(source_out AS DOUBLE), a0 + 4000000 * speed) AS a1 FROM b),
@@ -250,8 +251,8 @@ y AS (SELECT *, greatest(-100, least(greatest((m - p * CAST(0.25 AS DOUBLE)) / C
 SELECT c.timeline_id, c."column", round(CASE WHEN l IS NULL OR l <= fl THEN CAST(0 AS DOUBLE) ELSE least(1, (l - fl) / greatest(1, p - fl)) END, 9) AS level FROM cols c LEFT JOIN y USING (timeline_id, "column")""")
 def downsample_levels(spark, d):
     levels = v.levels(spark, d)
-    ids = v.table(spark, d, "orders").select(F.col("o_orderkey").alias("timeline_id"))
-    columns = ids.withColumn("column", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(11).cast("bigint")))).select(
+    last = F.call_function("div", F.col("duration_us") + 3_499_999, F.lit(4_000_000)) - 1
+    columns = timeline.timeline_duration(placed(spark, d)).where(last >= 0).select("timeline_id", F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("column")).select(
         "*", (F.col("column") * 4_000_000 + 500_000).alias("at"), F.lit(4_000_000).alias("step_us")
     )
     got = sampling.downsample_levels(columns, used(spark, d), levels, signals.source_levels(levels))
