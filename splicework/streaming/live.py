@@ -2,52 +2,22 @@
 
 from __future__ import annotations
 
-import time
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.replay import replay_ops
 from ..sources.eventlog import good_events, parse_events, upsert_events
-from .timing import BURST_US, MAX_INTERVAL_MS, MIN_INTERVAL_MS, SCRUB_LOG_US, STALE_US
-
+from .store import BucketedTable
+from .timing import BURST_US, MAX_HOLD_US, MAX_INTERVAL_MS, MIN_INTERVAL_MS, QUIET_US, SCRUB_LOG_US, STALE_US
 
-class VersionedTable:
-    """A table kept as numbered folders with a pointer row; readers see whole versions only.
-
-    A version is named after the batch that made it, so a batch run again writes the same one.
-    """
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    def current(self) -> DataFrame | None:
-        try:
-            latest = self.spark.read.json(f"{self.path}/pointer", schema="version bigint, at double").orderBy(F.desc("version")).first()
-        except Exception as error:
-            if "PATH_NOT_FOUND" in str(error):
-                return None
-            raise
-        return None if latest is None else self.spark.read.parquet(f"{self.path}/v{latest['version']}")
-
-    def before(self, version: int) -> DataFrame | None:
-        """The newest version older than ``version``."""
-        try:
-            rows = self.spark.read.json(f"{self.path}/pointer", schema="version bigint, at double").where(F.col("version") < version)
-            latest = rows.orderBy(F.desc("version")).first()
-        except Exception as error:
-            if "PATH_NOT_FOUND" in str(error):
-                return None
-            raise
-        return None if latest is None else self.spark.read.parquet(f"{self.path}/v{latest['version']}")
 
-    def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v{version}")
-        pointer = self.spark.createDataFrame([(version, time.time())], "version bigint, at double")
-        pointer.coalesce(1).write.mode("append").json(f"{self.path}/pointer")
+def event_table(spark: SparkSession, store: str) -> BucketedTable:
+    """The log that ``ingest_events`` keeps."""
+    return BucketedTable(spark, f"{store}/events", ["project_id"], ["seq"])
 
 
 def ingest_events(spark: SparkSession, folder: str, store: str, checkpoint: str, max_files: int = 1000, trigger: dict | None = None) -> StreamingQuery:
@@ -55,18 +25,23 @@ def ingest_events(spark: SparkSession, folder: str, store: str, checkpoint: str,
 
     No event is too late: rows are merged by their number, in the order of their files' times, names
     and lines, and nothing is dropped by a watermark. Bad lines go to ``store/skipped``, by batch, so
-    that a batch that runs again writes them once. ``trigger`` is passed on; by default what is there is read
+    that a batch that runs again writes them once. ``store/events`` is a ``BucketedTable`` by project: a batch reads and
+    rewrites the buckets of its own projects only. ``trigger`` is passed on; by default what is there is read
     and the query ends.
     """
     place = ("file_modification_time", "file_path", "file_block_start")
     lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(folder).select("value", *[F.col(f"_metadata.{c}").alias(c) for c in place])
-    table = VersionedTable(spark, f"{store}/events")
+    table = event_table(spark, store)
 
     def merge(batch: DataFrame, number: int) -> None:
-        parsed = parse_events(batch.withColumn("line", F.monotonically_increasing_id()))
-        parsed.where("error is not null").select("raw", "error").write.mode("overwrite").json(f"{store}/skipped/batch={number}")
-        arrived = good_events(parsed, F.struct(*place, "line").alias("arrived"))
-        table.write(upsert_events(table.before(number), arrived, "arrived"), number)
+        parsed = parse_events(batch.withColumn("line", F.monotonically_increasing_id())).persist()
+        try:
+            parsed.where("error is not null").select("raw", "error").write.mode("overwrite").json(f"{store}/skipped/batch={number}")
+            arrived = good_events(parsed, F.struct(*place, "line").alias("arrived"))
+            table.merge(number, arrived.select("project_id"), lambda held: upsert_events(held, arrived, "arrived"))
+        finally:
+            parsed.unpersist()
+        table.expire()
 
     return lines.writeStream.foreachBatch(merge).option("checkpointLocation", f"{checkpoint}/events").trigger(**trigger or {"availableNow": True}).start()
 
@@ -142,22 +117,150 @@ def failed_opens(events: DataFrame) -> DataFrame:
     )
 
 
-def stream_replay(ops: DataFrame, clips: VersionedTable, checkpoint: str) -> StreamingQuery:
-    """Keep timelines current from streamed edits: each batch replays only the timelines it names.
+def stream_replay(ops: DataFrame, clips: BucketedTable, checkpoint: str) -> StreamingQuery:
+    """Keep timelines current from streamed edits: each batch reads, replays and rewrites only the buckets of the timelines it names.
 
     ``ops`` are prepared edit rows (``timeline_id, e``); the table holds prepared clips
-    (``timeline_id, ord, c``).
+    (``timeline_id, ord, c``) by timeline and has a first commit, numbered below 0.
     """
 
     def advance(batch: DataFrame, number: int) -> None:
-        held = clips.before(number)
-        if held is None:
-            raise ValueError("stream_replay needs a first version of the clips")
-        named = batch.select("timeline_id").distinct()
-        touched = held.join(named, "timeline_id", "left_semi")
-        done = replay_ops(touched, batch).clips
-        fields = held.schema["c"].dataType.fieldNames()
-        renewed = done.select("timeline_id", "ord", F.struct(*fields).cast(held.schema["c"].dataType).alias("c"))
-        clips.write(held.join(named, "timeline_id", "left_anti").unionByName(renewed), number)
+        def replayed(held: DataFrame | None) -> DataFrame:
+            if held is None:
+                raise ValueError("stream_replay needs a first version of the clips")
+            named = batch.select("timeline_id").distinct()
+            done = replay_ops(held.join(named, "timeline_id", "left_semi"), batch).clips
+            kind = held.schema["c"].dataType
+            renewed = done.select("timeline_id", "ord", F.struct(*kind.fieldNames()).cast(kind).alias("c"))
+            return held.join(named, "timeline_id", "left_anti").unionByName(renewed)
+
+        batch.persist()
+        try:
+            clips.merge(number, batch.select("timeline_id"), replayed)
+        finally:
+            batch.unpersist()
+        clips.expire()
 
     return ops.writeStream.foreachBatch(advance).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class _Waiting(StatefulProcessor):
+    """Holds events until the watermark has passed all that can matter to them, then says when their work starts."""
+
+    def __init__(self, gap_us: int, hold_us: int):
+        self.gap, self.hold = gap_us, hold_us
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.events = handle.getListState("events", "at_us bigint, seq bigint")
+        self.due = handle.getValueState("due", "at_ms bigint")
+
+    def _wake(self, first_us: int) -> None:
+        at = -(-(first_us + self.hold) // 1000)
+        if not self.due.exists() or at < self.due.get()[0]:
+            if self.due.exists():
+                self.handle.deleteTimer(self.due.get()[0])
+            self.handle.registerTimer(at)
+            self.due.update((at,))
+
+    def handleInputRows(self, key, rows, timerValues):
+        first = None
+        for part in rows:
+            self.events.appendList(list(part[["at_us", "seq"]].itertuples(index=False, name=None)))
+            first = int(part.at_us.min()) if first is None else min(first, int(part.at_us.min()))
+        if first is not None:
+            self._wake(first)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        held = np.array(sorted(self.events.get()), dtype=np.int64).reshape(-1, 2)
+        at = held[:, 0]
+        calm = np.where(np.r_[at[1:], np.iinfo(np.int64).max] - at >= self.gap, at + self.gap, np.iinfo(np.int64).max)
+        starts = np.minimum(np.minimum.accumulate(calm[::-1])[::-1], at + self.hold)
+        ready = at + self.hold <= timerValues.getCurrentWatermarkInMs() * 1000
+        self.due.clear()
+        if ready.all():
+            self.events.clear()
+        else:
+            self.events.put([tuple(map(int, x)) for x in held[~ready]])
+            self._wake(int(at[~ready][0]))
+        yield pd.DataFrame({"project_id": key[0], "seq": held[ready, 1], "starts_us": starts[ready]})
+
+    def close(self) -> None:
+        pass
+
+
+def quiet_gaps(events: DataFrame, late: str = "1 minute", gap_us: int = QUIET_US, hold_us: int = MAX_HOLD_US) -> DataFrame:
+    """``timing.quiet_gaps`` on a stream (project_id, seq, at, at_us): when work asked for at each event starts.
+
+    An event goes out once the watermark, ``late`` behind, has passed its longest wait, with whatever came late until then; only
+    the events of the last ``hold_us`` and ``late`` are held. Needs the RocksDB state store.
+    """
+    rows = events.select("project_id", "seq", "at", "at_us").withWatermark("at", late)
+    kind = events.schema["project_id"].dataType.simpleString()
+    return rows.groupBy("project_id").transformWithStateInPandas(_Waiting(gap_us, hold_us), f"project_id {kind}, seq bigint, starts_us bigint", "append", "eventTime")
+
+
+class _Reviewed(StatefulProcessor):
+    """The verdicts of a project's open review, in the order of their numbers, until it closes or nobody touches it any more."""
+
+    def __init__(self, idle_ms: int):
+        self.idle = idle_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", "seq bigint, at_ms bigint, type string, ops bigint, index bigint, all_ops boolean, accepted boolean")
+        self.open = handle.getValueState("open", "review_seq bigint, at_ms bigint, accepted array<boolean>")
+
+    def handleInputRows(self, key, rows, timerValues):
+        for part in rows:
+            part = part.assign(at_ms=-(-part.at_us // 1000))[["seq", "at_ms", "type", "ops", "index", "all_ops", "accepted"]]
+            whole = part.astype({"ops": "Int64", "index": "Int64"}).astype(object)  # a column with nulls comes as floats
+            self.rows.appendList([tuple(None if pd.isna(x) else x for x in r) for r in whole.itertuples(index=False, name=None)])
+            for at in part.at_ms.unique():
+                self.handle.registerTimer(int(at))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        passed = timerValues.getCurrentWatermarkInMs()
+        held = sorted((tuple(r) for r in self.rows.get()), key=lambda r: r[0])
+        ready, left = [r for r in held if r[1] <= passed], [r for r in held if r[1] > passed]
+        self.rows.clear()
+        if left:
+            self.rows.put(left)
+        review, at, accepted = self.open.get() if self.open.exists() else (None, None, None)
+        done = []
+        for seq, now, kind, ops, index, every, said in ready:
+            if kind != "llm.verdict":
+                if review is not None:
+                    done.append((review, accepted))
+                review, accepted = (seq, [False] * int(ops or 0)) if kind == "llm.plan" else (None, None)
+            elif review is not None:
+                accepted = [bool(said) if every or i == index else x for i, x in enumerate(accepted)]
+            at = now
+        if review is not None and not ready and at + self.idle <= passed:
+            done.append((review, accepted))
+            review = None
+        if review is None:
+            self.open.clear()
+        else:
+            self.open.update((int(review), int(at), list(accepted)))
+            self.handle.registerTimer(int(at) + self.idle)
+        out = [(key[0], r, i, x) for r, own in done for i, x in enumerate(own)]
+        if out:
+            yield pd.DataFrame(out, columns=["project_id", "review_seq", "index", "accepted"])
+
+    def close(self) -> None:
+        pass
+
+
+def current_verdicts(events: DataFrame, late: str = "1 minute", idle: int = 24 * 3_600_000) -> DataFrame:
+    """``timing.current_verdicts`` on a stream (project_id, seq, at, at_us, type, ops, index, all_ops, accepted).
+
+    A review's verdicts go out when the row that ends it is behind the watermark, or when nothing has been said in it for
+    ``idle`` milliseconds of event time; the state holds one open review per project and the rows that may still be overtaken.
+    """
+    picked = events.where(F.col("type").isin("llm.plan", "llm.verdict", "llm.review"))
+    rows = picked.select("project_id", "seq", "at", "at_us", "type", F.col("ops").cast("bigint"), F.col("index").cast("bigint"), "all_ops", "accepted").withWatermark("at", late)
+    kind = events.schema["project_id"].dataType.simpleString()
+    return rows.groupBy("project_id").transformWithStateInPandas(_Reviewed(idle), f"project_id {kind}, review_seq bigint, index bigint, accepted boolean", "append", "eventTime")

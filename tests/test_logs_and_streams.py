@@ -8,6 +8,7 @@ from conftest import rows
 from splicework.operators import replay as r
 from splicework.sources import eventlog, projects
 from splicework.streaming import live, timing
+from splicework.streaming.store import BucketedTable
 from test_replay import KINDS, frames, model, random_case
 
 
@@ -103,7 +104,7 @@ def test_ingest_is_idempotent_and_quarantines(spark, tmp_path):
     go()
     (folder / "b.jsonl").write_text("\n".join([line(1, playhead=99), line(2)]))
     go()
-    table = live.VersionedTable(spark, f"{store}/events").current()
+    table = live.event_table(spark, str(store)).read()
     assert {x["seq"]: x["playhead"] for x in table.collect()}[1] == 99 and sorted(x["seq"] for x in table.collect()) == [0, 1, 2]
     assert spark.read.json(f"{store}/skipped").count() == 1
 
@@ -116,7 +117,7 @@ def test_ingest_keeps_late_events_and_the_last_write(spark, tmp_path):
     go()
     (folder / "b.jsonl").write_text("\n".join([line(7, at="2020-01-01T02:00:00.000Z"), line(0, playhead=5), line(0, playhead=6)]))
     go()
-    log = {x["seq"]: x["playhead"] for x in live.VersionedTable(spark, f"{store}/events").current().collect()}
+    log = {x["seq"]: x["playhead"] for x in live.event_table(spark, str(store)).read().collect()}
     assert log.keys() == {0, 1, 7} and log[1] == 2 and log[0] == 6
 
 
@@ -124,13 +125,15 @@ def test_streamed_edits_reach_the_timelines(spark, tmp_path):
     rng = random.Random(21)
     cases = [random_case(rng, t, KINDS) for t in range(6)]
     clips, ops = frames(spark, cases)
-    table = live.VersionedTable(spark, str(tmp_path / "clips"))
+    table = BucketedTable(spark, str(tmp_path / "clips"), ["timeline_id"], ["ord"], buckets=8)
     table.write(clips, -1)
     ops.coalesce(1).write.parquet(str(tmp_path / "ops"))
     source = spark.readStream.schema(ops.schema).parquet(str(tmp_path / "ops"))
     live.stream_replay(source, table, str(tmp_path / "ck")).awaitTermination()
+    live.stream_replay(source, table, str(tmp_path / "again")).awaitTermination()  # the same batch once more
+    assert table.commits() == [-1, 0]
     got = {}
-    for x in table.current().select("timeline_id", "c.track_id", "ord", "c.clip_id", "c.source_in", "c.source_out").orderBy("track_id", "ord").collect():
+    for x in table.read().select("timeline_id", "c.track_id", "ord", "c.clip_id", "c.source_in", "c.source_out").orderBy("track_id", "ord").collect():
         got.setdefault(x[0], []).append((x[1], x[3], x[4], x[5]))
     for cs, os in cases:
         assert got.get(cs[0][0], []) == [w[:4] for w in model(cs, os)[0]]
