@@ -6,7 +6,7 @@ import importlib
 
 from .registry import QUERIES, Query
 
-_MODULES = ("timeline_queries", "quality_queries", "signal_queries", "join_queries", "library_queries", "replay_queries", "review_queries", "text_queries", "event_queries")
+_MODULES = ("timeline_queries", "quality_queries", "signal_queries", "join_queries", "library_queries", "replay_queries", "review_queries", "text_queries", "event_queries", "training_queries")
 
 
 def catalog() -> dict[str, Query]:
