@@ -10,7 +10,7 @@ from ..streaming import timing
 from . import views as v
 from .registry import query
 from .timeline_queries import tracks
-from .views import EVENTS, RAW_CLIPS
+from .views import EVENTS, KEYFRAMES, PROJECTS, RAW_CLIPS, SOURCES
 
 # Every 97th line is cut short, every 89th names an unknown type.
 LOGGED = """logged AS (SELECT event_id, user_id, CASE WHEN event_id % 97 = 0 THEN 'cut' WHEN event_id % 89 = 0 THEN 'type' ELSE 'ok' END AS state, event_type FROM events)"""
@@ -92,6 +92,51 @@ def project_round_trip(spark, d):
     return projects.project_tables(projects.parse_projects(docs))["clips"].select("clip_id", "source_in", "source_out", "speed", "enabled", "mute", "label")
 
 
+@query("document_parts", "S3", "S4", sql=f"""WITH {RAW_CLIPS}, {KEYFRAMES}, {SOURCES}, {PROJECTS},
+known AS (SELECT p.* FROM projects p WHERE project_id IN (SELECT timeline_id FROM raw_clips)),
+owned AS (SELECT DISTINCT timeline_id, source_id FROM raw_clips)
+SELECT 'key' AS part, effect_id AS id, t AS n, key_idx AS m, easing AS a, scale AS x FROM keyframes
+UNION ALL SELECT 'source', 'prj_' || timeline_id || '/' || source_id, duration_us, width, content_hash, NULL FROM owned JOIN sources USING (source_id)
+UNION ALL SELECT 'revision', 'rev_' || project_id, CAST(1 + project_id % 3 AS BIGINT), CAST(project_id % 2 AS BIGINT), 'prj_' || project_id || ' by model', NULL FROM known
+UNION ALL SELECT 'project', 'prj_' || project_id, target_us, CAST(project_id % 5 AS BIGINT), updated_at || 'T01|rev_' || project_id || '|' || coalesce(brief, '-') || '|say "' || project_id || '"', NULL FROM known""")
+def document_parts(spark, d):
+    """Everything but the clips' own fields, from tables to documents and back."""
+    key, pid = F.col("project_id"), F.concat(F.lit("prj_"), F.col("project_id").cast("string"))
+    clips = v.raw_clips(spark, d)
+    known = v.projects(spark, d).join(clips.select(F.col("timeline_id").alias("project_id")).distinct(), "project_id", "left_semi")
+    review = F.to_json(F.struct(F.concat(F.lit('say "'), key.cast("string"), F.lit('"')).alias("summary"), F.array(F.struct(F.lit("remove").alias("op"))).alias("ops")))
+    p = known.select(
+        pid.alias("project_id"), key.alias("timeline_id"), "name", "stage", "updated_at", F.concat("updated_at", F.lit("T01")).alias("created_at"), "brief", "target_us", "fps_num", "fps_den", "width", "height",
+        F.concat(F.lit("rev_"), key.cast("string")).alias("head_revision_id"), review.alias("review"), F.to_json(F.struct(F.struct(F.pmod(key, F.lit(5)).alias("k")).alias("deep"))).alias("meta"),
+    )
+    op = F.struct(F.lit("setLabel").alias("op"), F.lit("a, b").alias("label"))
+    revisions = known.select(
+        pid.alias("project_id"), F.lit(0).alias("rev_ord"), F.concat(F.lit("rev_"), key.cast("string")).alias("revision_id"), F.lit(None).cast("string").alias("parent_id"), F.col("updated_at").alias("at"), F.lit("llm").alias("by"),
+        F.to_json(F.array_repeat(op, (F.pmod(key, F.lit(3)) + 1).cast("int"))).alias("ops"), F.concat(pid, F.lit(" by model")).alias("summary"), (F.pmod(key, F.lit(2)) == 1).alias("accepted"),
+    )
+    owned = clips.select("timeline_id", "source_id").distinct().join(v.sources(spark, d), "source_id")
+    video = F.struct("width", "height", F.struct(F.col("fps_num").alias("num"), F.col("fps_den").alias("den")).alias("frameRate"), "rotation")
+    sources = owned.select(
+        F.concat(F.lit("prj_"), F.col("timeline_id").cast("string")).alias("project_id"), F.col("source_id").alias("source_ord"), "source_id", "name", "duration_us",
+        F.struct(F.col("locator_kind").alias("kind"), F.col("locator_path").alias("path")).alias("locator"), video.alias("video"), F.lit(None).cast("string").alias("audio"), "content_hash",
+    )
+    framing = F.to_json(F.struct("scale", "x", "y", "rotation"))
+    keys = v.keyframes(spark, d).groupBy("timeline_id", "track_id", "ord", "clip_id", "effect_ord", "effect_id", "type", F.col("effect_enabled").alias("enabled")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("key_idx", F.struct("t", framing.alias("value"), "easing").alias("k")))), lambda x: x["k"]).alias("keyframes")
+    ).withColumns({"rect": F.lit(None).cast("string"), "color": F.lit(None).cast("string")})
+    lanes = tracks(spark, d).withColumn("track_no", F.col("track_id")).join(p.select("timeline_id"), "timeline_id", "left_semi")
+    back = projects.project_tables(projects.parse_projects(projects.assemble_projects(p, lanes, clips, keys, sources, revisions)))
+    row = lambda df, part, id_, n, m, a, x=None: df.select(F.lit(part).alias("part"), id_.alias("id"), n.cast("bigint").alias("n"), m.cast("bigint").alias("m"), a.alias("a"), (F.lit(None) if x is None else x).cast("double").alias("x"))
+    c, own = F.col, back["effects"].select("effect_id", F.posexplode("keyframes").alias("i", "k"))
+    text = F.concat_ws("|", "created_at", "head_revision_id", F.coalesce("brief", F.lit("-")), F.get_json_object("review", "$.summary"))
+    return (
+        row(own, "key", c("effect_id"), c("k.t"), c("i"), c("k.easing"), F.get_json_object("k.value", "$.scale"))
+        .unionByName(row(back["sources"], "source", F.concat_ws("/", "project_id", "source_id"), c("duration_us"), c("video.width"), c("content_hash")))
+        .unionByName(row(back["revisions"], "revision", c("revision_id"), F.json_array_length("ops"), c("accepted").cast("int"), c("summary")))
+        .unionByName(row(back["projects"], "project", c("project_id"), c("target_us"), F.get_json_object("meta", "$.deep.k"), text))
+    )
+
+
 @query("parse_plans", "Q-14", sql="SELECT role, count(*) AS replies, count(*) FILTER (turn % 3 <> 2) AS good, CAST(sum(CASE turn % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END) AS BIGINT) AS ops FROM conversations GROUP BY 1")
 def parse_plans(spark, d):
     one, two = '{"op":"remove","clipId":"clp_1"}', '{"op":"setLabel","clipId":"clp_2"}'
