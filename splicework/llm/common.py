@@ -56,8 +56,8 @@ def lookup(left: DataFrame, right: DataFrame, on: Sequence[str], by: Sequence[st
     return dealt.join(asked, [*on, "__piece"], how).drop("__piece")
 
 
-def small_or_spread(left: DataFrame, right: DataFrame, on: Sequence[str], by: Sequence[str], how: str = "inner") -> DataFrame:
-    """``lookup``, by broadcast where ``right`` (a checkpointed table of short rows) is counted to be small."""
-    if right.count() <= BROADCAST_ROWS:
+def small_or_spread(left: DataFrame, right: DataFrame, on: Sequence[str], by: Sequence[str], how: str = "inner", rows: int | None = None) -> DataFrame:
+    """``lookup``, by broadcast where ``right`` (a checkpointed table of short rows, of ``rows`` if they were counted before) is counted to be small."""
+    if (right.count() if rows is None else rows) <= BROADCAST_ROWS:
         return left.join(F.broadcast(right), list(on), how)
     return lookup(left, right, on, by, how)

@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPREAD, boxed, checkpoint, counted, lookup, release, table, unboxed
+from .common import SPREAD, boxed, checkpoint, counted, lookup, release, small_or_spread, table, unboxed
 from .registry import corpus_query
 
 #: Words of a run, runs kept by a sketch, sketches of a text, least similarity (1 - edits / longer length, in words).
@@ -23,12 +23,12 @@ RUN, KEPT, SKETCHES, LEAST = 3, 2, 48, 0.8
 SHORT, SHORT_RUN, BOTH = 64, 2, 80
 #: Texts of fewer words are similar only if their words are equal: one edit is more than a fifth.
 TINY = 5
-#: In buckets of up to this many texts all pairs are compared; in larger ones each with two centres, then texts of different classes.
-SMALL_BUCKET = 12
-#: Texts of a large bucket that are compared at once with as many others, and counters of a text's words for it.
-BLOCK, BINS = 1024, 128
+#: In buckets of up to this many texts all pairs are compared; in larger ones each with a few of its buckets' centres, then texts of different classes.
+SMALL_BUCKET, CENTRES = 12, 4
+#: Texts of a large bucket that are compared at once with as many others, and fewest and most counters of a text's words for it.
+BLOCK, BINS, MOST_BINS = 1024, 128, 4096
 #: Word hashes a task remembers before it starts anew, and words of the texts that are sketched at once.
-REMEMBERED, AT_ONCE = 1 << 20, 1 << 16
+REMEMBERED, AT_ONCE = 1 << 18, 1 << 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -90,7 +90,7 @@ def order_sketches(tokens: np.ndarray, lengths: np.ndarray, run: int, sketches:
 
 
 def sketches_of(texts: list[np.ndarray]) -> list[np.ndarray]:
-    """All sketches of each text's word hashes."""
+    """All sketches of each text's word hashes: by short runs, then by longer ones, in the order of their seeds."""
     lengths = np.array([len(t) for t in texts], dtype=np.int64)
     own: list[list[np.ndarray]] = [[] for _ in texts]
     for run, fits in ((SHORT_RUN, (lengths >= TINY) & (lengths <= BOTH)), (RUN, lengths > SHORT)):
@@ -101,12 +101,23 @@ def sketches_of(texts: list[np.ndarray]) -> list[np.ndarray]:
     for i in np.flatnonzero(lengths < TINY):
         n = len(texts[i])
         own[i].append(mix(run_hashes(np.r_[texts[i], np.uint64(n)], n + 1)))
-    return [np.unique(np.concatenate(x)) for x in own]
+    return [np.concatenate(x) for x in own]
 
 
 def word_counts(tokens: np.ndarray) -> bytes:
-    """How many words fall into each of BINS counters, up to 255."""
-    return np.minimum(np.bincount((tokens % np.uint64(BINS)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+    """How many words fall into each of some counters, about as many as there are words; nothing for a text of over 65,535 words."""
+    size = min(MOST_BINS, max(BINS, 1 << max(0, len(tokens) - 1).bit_length()))
+    return np.bincount((tokens % np.uint64(size)).astype(np.int64), minlength=size).astype(np.uint16).tobytes() if len(tokens) < 1 << 16 else b""
+
+
+def folded(counts: list[bytes], size: int, most: int, kind: type) -> np.ndarray:
+    """A row of ``size`` counters per text, up to ``most`` each, from those of ``word_counts``; zeros where there are none."""
+    out, lengths = np.zeros((len(counts), size), dtype=kind), np.array([len(x) for x in counts]) // 2
+    for length in np.unique(lengths[lengths > 0]):
+        at = np.flatnonzero(lengths == length)
+        own = np.frombuffer(b"".join([counts[i] for i in at]), dtype=np.uint16).reshape(len(at), -1, size)
+        out[at] = np.minimum(own.sum(1, dtype=np.int32), most)
+    return out
 
 
 def sketched(docs: DataFrame) -> DataFrame:
@@ -160,31 +171,31 @@ def brief(node: str) -> Column:
 
 
 def buckets(texts: DataFrame) -> DataFrame:
-    """A row (sketch, id, n, low, near, size) for each text (brief node id, n words) of a sketch that others have too.
+    """A row (sketch, id, n, low, size) for each text (brief node id, n words) of a sketch that others have too.
 
-    ``low`` is the least text of the bucket, ``near`` the least of this text's piece of it. Buckets
-    are counted over pieces first; no task holds one.
+    ``low`` is the least text of the bucket. Buckets are counted over pieces first; no task holds one.
     """
     who = F.struct("id", "n")
     rows = texts.select(brief("node").alias("id"), F.col("n_words").cast("int").alias("n"), F.explode("sketches").alias("sketch")).withColumn("piece", F.pmod("id", F.lit(SPREAD)).cast("int"))
     pieces = rows.groupBy("sketch", "piece").agg(F.min(who).alias("near"), F.count("*").cast("int").alias("here"))
     same = Window.partitionBy("sketch")
-    whole = pieces.select("sketch", "piece", "near", F.min("near").over(same).alias("low"), F.sum("here").over(same).alias("size")).where("size > 1")
+    whole = pieces.select("sketch", "piece", F.min("near").over(same).alias("low"), F.sum("here").over(same).alias("size")).where("size > 1")
     return rows.join(whole, ["sketch", "piece"]).drop("piece")
 
 
 def candidates(members: DataFrame, least: float = LEAST) -> DataFrame:
     """Pairs (a, b) of brief nodes that share a bucket and whose lengths allow the similarity.
 
-    A small bucket gives all its pairs. In a large one every text is paired with two centres, the
-    least of its piece of the bucket and the least of all, so a family of any size gives at most
-    twice as many pairs as it has texts; ``across`` finds what these pairs leave.
+    A small bucket gives all its pairs. In large ones a text is paired with the least texts of its buckets, the
+    CENTRES lowest of them, so a family of any size gives at most so many pairs for each of its texts; most of
+    its texts have the same few centres. ``across`` finds what these pairs leave.
     """
     who = F.struct("id", "n")
     small = members.where(F.col("size") <= SMALL_BUCKET).groupBy("sketch").agg(F.collect_list(who).alias("all"))
     one = small.select(F.explode("all").alias("x"), "all")
     within = one.select("x", F.explode(F.filter("all", lambda y: y["id"] > F.col("x.id"))).alias("y"))
-    large = members.where(F.col("size") > SMALL_BUCKET).select(F.explode(F.array("low", "near")).alias("x"), who.alias("y")).where("x.id != y.id")
+    large = members.where((F.col("size") > SMALL_BUCKET) & (F.col("low.id") != F.col("id"))).groupBy(who.alias("y")).agg(F.collect_set("low").alias("lows"))
+    large = large.select(F.explode(F.slice(F.array_sort("lows"), 1, CENTRES)).alias("x"), "y")
     fits = F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * F.lit(least)
     return within.unionByName(large).where(fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
@@ -192,10 +203,11 @@ def candidates(members: DataFrame, least: float = LEAST) -> DataFrame:
 def across(members: DataFrame, classed: DataFrame, least: float = LEAST) -> DataFrame:
     """Pairs (a, b) of brief nodes that share a large bucket, are in different classes so far and may be similar.
 
-    ``classed`` has (id, kin: hash of the class, bins). Every pair of a large bucket is looked at, in
+    ``classed`` has (id, kin: hash of the class, bins, sketches). Every pair of a large bucket is looked at, in
     blocks of BLOCK by BLOCK texts, unless both are in one class already or their lengths are too
     far apart: a text stands under its band of lengths and the next, as similar ones are at
-    most one band apart. A pair is left out only where the counts of words prove too many edits.
+    most one band apart. A pair is left out only where the counts of words prove too many edits, and comes from
+    the bucket of its first common sketch only; if that is a small one, its pairs were compared before.
     """
     width = math.log(1 / least) * 1.0001 if least < 0.99 else 0.01
     band = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / F.lit(width)).cast("int")
@@ -204,24 +216,41 @@ def across(members: DataFrame, classed: DataFrame, least: float = LEAST) -> Data
     pieces = rows.groupBy("sketch", "at", "piece").agg(F.min("kin").alias("low"), F.max("kin").alias("high"), F.count("*").alias("here"))
     same = Window.partitionBy("sketch", "at")
     whole = pieces.select("sketch", "at", "piece", F.min("low").over(same).alias("low"), F.max("high").over(same).alias("high"), F.ceil(F.sum("here").over(same) / BLOCK).cast("int").alias("blocks"))
-    mixed = rows.join(whole.where("low != high").drop("low", "high"), ["sketch", "at", "piece"]).join(classed.select("id", "kin", "bins"), ["id", "kin"])
+    mixed = rows.join(whole.where("low != high").drop("low", "high"), ["sketch", "at", "piece"]).join(classed.select("id", "kin", "bins", "sketches"), ["id", "kin"])
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    cells = mixed.select("sketch", "at", "id", "n", "kin", "bins", (F.col("band") == F.col("at")).alias("here"), own.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    cells = mixed.select("sketch", "at", "id", "n", "kin", "bins", "sketches", (F.col("band") == F.col("at")).alias("here"), own.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     cells = cells.select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
     def work(cell: pa.Table) -> pa.Table:
         ids, n, kin, here, block = (cell.column(c).to_numpy() for c in ("id", "n", "kin", "here", "block"))
-        bins = np.frombuffer(b"".join(cell.column("bins").to_pylist()), dtype=np.uint8).reshape(-1, BINS).astype(np.int16)
-        i, j = cell.column("i")[0].as_py(), cell.column("j")[0].as_py()
+        own = cell.column("bins").to_pylist()
+        known = np.array([len(x) > 0 for x in own])
+        fine = min((len(x) // 2 for x in own if x), default=BINS)
+        counts = [folded(own, BINS, 255, np.int16), folded(own, fine, 1 << 16, np.int32)]  # few counters first, all of them for what is left
+
+        def possible(x: int, y: np.ndarray, longest: np.ndarray, counted: np.ndarray) -> np.ndarray:
+            gap = counted[y] - counted[x]
+            edits = (np.abs(gap).sum(1, dtype=np.int64) + np.abs(gap.sum(1, dtype=np.int64))) // 2  # the larger of words only here and only there
+            return (edits <= np.floor(longest * (1 - least) + 1e-9)) | ~(known[y] & known[x])
+
+        i, j, sketch = (cell.column(c)[0].as_py() for c in ("i", "j", "sketch"))
+        held = [np.array(x, dtype=np.int64) for x in cell.column("sketches").to_pylist()]
+        sketches = np.zeros((len(held), 2 * SKETCHES), dtype=np.int64)  # by random order: those of short runs, then the others
+        for row, own_sketches, words in zip(sketches, held, n, strict=True):
+            row[SKETCHES * int(words > BOTH) :][: len(own_sketches)] = own_sketches
         second, left, right = np.flatnonzero(block == j), [], []
         for place, x in enumerate(np.flatnonzero(block == i)):
             y = second[place + 1 :] if i == j else second
             y = y[(kin[y] != kin[x]) & (here[y] | here[x])]
             longest = np.maximum(n[y], n[x])
             y, longest = (v[np.minimum(n[y], n[x]) >= longest * least] for v in (y, longest))
-            gap = bins[y] - bins[x]
-            edits = (np.abs(gap).sum(1, dtype=np.int64) + np.abs(gap.sum(1, dtype=np.int64))) // 2  # the larger of words only here and only there
-            y = y[edits <= np.floor(longest * (1 - least) + 1e-9)]
+            for k, some in enumerate(counts):
+                fits = possible(x, y, longest, some)
+                y, longest = y[fits], longest[fits]
+                if k == 0 and len(y):
+                    used = np.flatnonzero(sketches[x])
+                    first = sketches[x, used][(sketches[y][:, used] == sketches[x, used]).argmax(1)]
+                    y, longest = y[first == sketch], longest[first == sketch]
             left.append(np.minimum(ids[x], ids[y]))
             right.append(np.maximum(ids[x], ids[y]))
         empty = np.empty(0, dtype=np.int64)
@@ -315,21 +344,21 @@ def components(links: DataFrame) -> DataFrame:
         place = lambda n, number=len(hooks): F.struct(F.xxhash64(F.lit(number), n).alias("drawn"), F.col(n).alias("node"))
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         first = both.groupBy("a").agg(F.min(place("b")).alias("to"))
-        hook = checkpoint(first.select(F.col("a").alias("node"), F.least("to", place("a"))["node"].alias("to")))
-        hooks.append(hook)
+        hook, nodes = counted(first.select(F.col("a").alias("node"), F.least("to", place("a"))["node"].alias("to")))
+        hooks.append((hook, nodes))
         as_of = lambda n, hook=hook: hook.select(F.col("node").alias(n), F.col("to").alias(f"to_{n}"))
-        moved = lookup(lookup(left, as_of("a"), ["a"], ["b"]), as_of("b"), ["b"], ["a"])
+        moved = small_or_spread(small_or_spread(left, as_of("a"), ["a"], ["b"], rows=nodes), as_of("b"), ["b"], ["a"], rows=nodes)
         before = left
         left, rows = counted(moved.select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).where("a != b").distinct())
         release(before)
     release(left)
     if not hooks:
         return links.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
-    roots = hooks.pop()
+    roots, nodes = hooks.pop()
     while hooks:
-        first, later = hooks.pop(), roots
-        followed = lookup(first, later.select(F.col("node").alias("to"), F.col("to").alias("root")), ["to"], ["node"], "left")
-        roots = checkpoint(followed.select("node", F.coalesce("root", "to").alias("to")))
+        (first, rows), later = hooks.pop(), roots
+        followed = small_or_spread(first, later.select(F.col("node").alias("to"), F.col("to").alias("root")), ["to"], ["node"], "left", rows=nodes)
+        roots, nodes = checkpoint(followed.select("node", F.coalesce("root", "to").alias("to"))), rows
         release(first, later)
     return roots.select("node", F.col("to").alias("root"))
 
@@ -358,12 +387,19 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     members = checkpoint(buckets(nodes))
     links = linked(checkpoint(candidates(members, least)))
     roots = components(links)
-    classed = nodes.join(roots, "node", "left").select(brief("node").alias("id"), F.xxhash64(F.coalesce("root", "node")).alias("kin"), "bins")
+    classed = nodes.join(roots, "node", "left").select(brief("node").alias("id"), F.xxhash64(F.coalesce("root", "node")).alias("kin"), "bins", "sketches")
     further, rows = counted(across(members, classed, least))
     release(members)
     if rows:
-        links = checkpoint(links.unionByName(linked(further)))
-        roots = components(links)
+        more, at = linked(further), roots.select("node", "root")
+        for n in "ab":  # what the new links join are classes
+            more = lookup(more, at.select(F.col("node").alias(n), F.col("root").alias(f"root_{n}")), [n], ["b" if n == "a" else "a"], "left")
+        more = checkpoint(more)
+        joined = components(more.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))).withColumnRenamed("root", "of_all")
+        alone = joined.select("node", F.col("node").alias("root")).join(roots, "node", "left_anti")
+        over = lookup(roots.unionByName(alone), joined.withColumnRenamed("node", "root"), ["root"], ["node"], "left")
+        roots = checkpoint(over.select("node", F.coalesce("of_all", "root").alias("root")))
+        links = links.unionByName(more.select("a", "b"))
     rooted = nodes.select("node", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least_id = rooted.groupBy("root").agg(F.min("first_id").alias("class_id"))
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
