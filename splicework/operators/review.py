@@ -172,6 +172,64 @@ def commit_revisions(projects: DataFrame, outcomes: DataFrame, verdicts: DataFra
     return rows.join(kept, "project_id", "left")
 
 
+def applied_ops(ops: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """(timeline_id, ops): the edits that applied, in order, as a JSON list; ``ops`` are plain edit rows, null fields left out."""
+    fields = sorted(c for c in ops.columns if c not in ("timeline_id", "op_idx", "round", "accepted"))
+    landed = outcomes.where("message is null").select("timeline_id", "op_idx")
+    rows = ops.join(landed, ["timeline_id", "op_idx"], "left_semi").select("timeline_id", F.struct("op_idx", F.to_json(F.struct(*fields)).alias("op")).alias("o"))
+    listed = F.transform(F.array_sort(F.collect_list("o")), lambda o: o["op"])
+    return rows.groupBy("timeline_id").agg(F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]")).alias("ops"))
+
+
+def commit_ops(projects: DataFrame, batches: DataFrame, ops: DataFrame, outcomes: DataFrame, verdicts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """A batch of edits per timeline as a revision, and the projects with their heads moved on: revisions, projects.
+
+    ``batches``: timeline_id, parent_id (the head that the batch was made on), at, by, model, summary. ``ops`` are the batch's plain
+    edits, with ``accepted`` where a person judged them: then ``verdicts`` (timeline_id, op_idx, accepted) go along for
+    every edit, those turned down included, and the revision is accepted if one was. The revision holds what
+    applied, also if that is nothing, and its id follows from the project, the parent, the time and the edits, so a job that
+    runs again makes the same one. A head moves only where it is still the batch's parent; other batches come out with
+    ``committed`` false and leave their project alone, and so do batches without a project.
+    """
+    rows = batches.join(applied_ops(ops, outcomes), "timeline_id", "left").withColumn("ops", F.coalesce("ops", F.lit("[]")))
+    if verdicts is None:
+        rows = rows.withColumns({"verdicts": F.lit(None).cast("array<struct<op_idx:bigint,accepted:boolean>>"), "accepted": F.lit(None).cast("boolean")})
+    else:
+        said = F.struct(F.col("op_idx").cast("bigint").alias("op_idx"), F.coalesce("accepted", F.lit(False)).alias("accepted"))
+        own = verdicts.groupBy("timeline_id").agg(F.array_sort(F.collect_list(said)).alias("verdicts"), F.bool_or(F.coalesce("accepted", F.lit(False))).alias("accepted"))
+        rows = rows.join(own, "timeline_id", "left")
+    heads = projects.select(F.col("project_id").alias("timeline_id"), F.col("head_revision_id").cast("string").alias("__head"), F.lit(True).alias("__there"))
+    named = F.sha2(F.to_json(F.struct("timeline_id", F.col("parent_id").alias("parent"), "at", "ops")), 256)
+    found = rows.withColumn("parent_id", F.col("parent_id").cast("string")).join(heads, "timeline_id", "left").select(
+        F.col("timeline_id").alias("project_id"), F.concat(F.lit("rev_"), F.substring(named, 1, 20)).alias("revision_id"), "parent_id", "at", "by", "model", "summary", "ops", "verdicts", "accepted",
+        (F.coalesce("__there", F.lit(False)) & F.col("parent_id").eqNullSafe(F.col("__head"))).alias("committed"),
+    )
+    moved = found.where("committed").select("project_id", F.col("revision_id").alias("__to"), F.col("at").alias("__at"))
+    after = projects.withColumn("head_revision_id", F.col("head_revision_id").cast("string")).join(moved, "project_id", "left").withColumns({
+        "head_revision_id": F.coalesce("__to", "head_revision_id"), "updated_at": F.coalesce("__at", "updated_at"),
+    })
+    return found, after.select(*projects.columns)
+
+
+def settle_reviews(projects: DataFrame, reviews: DataFrame, baseline: DataFrame, prepared: DataFrame, ops: DataFrame, verdicts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Reviews closed for good: clips, revisions and projects afterwards.
+
+    ``reviews``: timeline_id, action, parent_id, at, by, model, summary. A finished one replays its accepted edits on its baseline and commits
+    them with all verdicts, under the model's name or that of the local rules; a discarded one leaves no revision, and its
+    timeline is the baseline again. ``baseline`` has the clips (timeline_id, ord, c), ``prepared`` the edits (timeline_id, e).
+    """
+    finished = reviews.where("action = 'finish'")
+    named = finished.withColumns({"model": F.when(F.col("by") == "model", F.col("model")).otherwise("local-heuristics"), "by": F.lit("llm")})
+    ids = finished.select("timeline_id")
+    own = verdicts.join(ids, "timeline_id", "left_semi")
+    done, _ = resolve_review(baseline.join(ids, "timeline_id", "left_semi"), prepared.join(ids, "timeline_id", "left_semi"), own)
+    revisions, after = commit_ops(projects, named.drop("action"), ops.join(ids, "timeline_id", "left_semi"), done.outcomes, own)
+    kind, fields = schemas.struct(schemas.CLIP), baseline.schema["c"].dataType.fieldNames()
+    kept = baseline.join(ids, "timeline_id", "left_anti").join(reviews.select("timeline_id"), "timeline_id", "left_semi")
+    clips = kept.select("timeline_id", "ord", F.col("c").cast(kind).alias("c")).unionByName(done.clips.select("timeline_id", "ord", F.struct(*fields).cast(kind).alias("c")))
+    return clips, revisions, after
+
+
 def close_reviews(reviews: DataFrame) -> DataFrame:
     """What closing does: finish commits the accepted edits, discard leaves no revision."""
     finished = F.col("action") == "finish"

@@ -148,6 +148,32 @@ def commit_revisions(spark, d):
     return rv.commit_revisions(v.projects(spark, d), replayed.outcomes, verdicts)
 
 
+# Every fourth edit fails; every eighth batch was made on a head that has moved since.
+LANDED = f"""{v.RAW_CLIPS}, {v.OPS}, {v.PROJECTS}, o AS (SELECT *, (op_idx + timeline_id) % 4 = 0 AS failed FROM ops),
+listed AS (SELECT timeline_id, '[' || coalesce(string_agg('{{"clip_id":"' || clip_id || '","op":"' || op || '"}}', ',' ORDER BY op_idx) FILTER (NOT failed), '') || ']' AS ops,
+  string_agg(op_idx || CASE WHEN accepted THEN '+' ELSE '-' END, ' ' ORDER BY op_idx) AS verdicts, bool_or(accepted) AS accepted FROM o WHERE clip_id IS NOT NULL GROUP BY 1)"""
+
+
+@query("commit_ops", "R16", sql=f"""WITH {LANDED} SELECT timeline_id AS project_id, ops, verdicts, accepted, timeline_id % 8 <> 0 AS committed, CASE WHEN timeline_id % 8 <> 0 THEN '2024-05-05' ELSE updated_at END AS updated_at, timeline_id % 8 <> 0 AS moved
+FROM listed JOIN projects ON project_id = timeline_id""")
+def commit_ops(spark, d):
+    """Batches as revisions with their edits and verdicts; heads that are still the parent move on."""
+    rows = v.ops(spark, d).where("clip_id is not null").select("timeline_id", "op_idx", "op", "clip_id", "accepted")
+    p = v.projects(spark, d)
+    key = F.col("project_id")
+    parent = F.when(F.pmod(key, F.lit(8)) == 0, F.lit("rev_gone")).otherwise(F.col("head_revision_id").cast("string"))
+    batches = p.join(rows.select(F.col("timeline_id").alias("project_id")).distinct(), "project_id", "left_semi").select(
+        key.alias("timeline_id"), parent.alias("parent_id"), F.lit("2024-05-05").alias("at"), F.lit("llm").alias("by"), F.lit("m1").alias("model"), F.lit(None).cast("string").alias("summary")
+    )
+    message = F.when(F.pmod(F.col("op_idx") + F.col("timeline_id"), F.lit(4)) == 0, "no")
+    revisions, after = rv.commit_ops(p, batches, rows, rows.select("timeline_id", "op_idx", message.alias("message")), rows.select("timeline_id", "op_idx", "accepted"))
+    said = F.array_join(F.transform("verdicts", lambda x: F.concat(x["op_idx"].cast("string"), F.when(x["accepted"], "+").otherwise("-"))), " ")
+    heads = after.select("project_id", "updated_at", "head_revision_id")
+    return revisions.select("project_id", "revision_id", "ops", said.alias("verdicts"), "accepted", "committed").join(heads, "project_id").select(
+        "project_id", "ops", "verdicts", "accepted", "committed", "updated_at", F.coalesce(F.col("head_revision_id") == F.col("revision_id"), F.lit(False)).alias("moved")
+    )
+
+
 @query("close_reviews", "R21", sql="""SELECT o_orderkey AS review_id, CASE WHEN o_orderstatus <> 'O' THEN CASE WHEN o_custkey % 2 = 0 THEN 'm' || (o_custkey % 3) ELSE 'local-heuristics' END END AS model_label,
   CASE WHEN o_orderstatus <> 'O' THEN o_custkey % 5 ELSE 0 END AS committed, CASE WHEN o_orderstatus <> 'O' THEN 5 ELSE 0 END AS stored_verdicts, o_orderstatus <> 'O' AS has_revision FROM orders""")
 def close_reviews(spark, d):
