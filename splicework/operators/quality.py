@@ -85,13 +85,14 @@ def clip_issues(clips: DataFrame, sources: DataFrame | None = None, frame_alignm
     cid, out, size = F.col("clip_id"), F.col("source_out"), F.col("source_in")
     path = _text("tracks[{}].clips[{}]", F.col("track_id"), F.col("clip_index"))
     at = lambda field: F.concat(path, F.lit(f".{field}"))
+    # Fixed output: codes and messages of the issues.
     rules = [
         _issue(F.struct("track_id", "ord") > F.col("__first_use"), "error", "duplicate-clip-id",
                _text("Duplicate clip id {}. Ops address clips by id, so this makes edits ambiguous.", cid), path),
         _issue(out <= size, "error", "empty-clip",
                _text("Clip {} has sourceOut ({}) <= sourceIn ({}).", cid, out, size), at("sourceOut")),
         _issue(expected != F.col("start"), "error", "position-drift",
-               _text("Clip {} starts at {} but a reflow puts it at {}. Call normalizeTimeline() after mutating.", cid, F.col("start"), expected),
+               _text("Clip {} starts at {} but a reflow puts it at {}. Call reflow() after mutating.", cid, F.col("start"), expected),
                at("start")),
         _issue(F.col("enabled") & (F.col("kind") == "video") & (F.col("start") < F.col("__prev")["end"]), "error", "overlap",
                _text("Clips {} and {} overlap on video track {}.", F.col("__prev")["id"], cid, F.col("track_id")),

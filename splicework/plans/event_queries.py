@@ -137,14 +137,23 @@ def document_parts(spark, d):
     )
 
 
-@query("parse_plans", "Q-14", sql="SELECT role, count(*) AS replies, count(*) FILTER (turn % 3 <> 2) AS good, CAST(sum(CASE turn % 3 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END) AS BIGINT) AS ops FROM conversations GROUP BY 1")
+# Replies made of whole turns: an object whose summary is the text, a list that labels a clip with it and speeds another up, or prose.
+@query("parse_plans", "Q-13", "Q-14", sql="""WITH s AS (SELECT role, turn, text, CASE WHEN turn % 3 = 1 THEN length(text) > 200 END AS long, turn % 5 = 4 AS fast FROM conversations)
+SELECT role, count(*) AS replies, count(*) FILTER (turn % 3 = 0 OR (turn % 3 = 1 AND NOT long AND NOT fast)) AS good, count(*) FILTER (turn % 3 = 1 AND long) AS long_labels, count(*) FILTER (turn % 3 = 1 AND fast) AS too_fast,
+  CAST(sum(CASE WHEN turn % 3 = 0 THEN 1 WHEN turn % 3 = 1 THEN 2 ELSE 0 END) AS BIGINT) AS ops, CAST(sum(CASE WHEN turn % 3 = 0 THEN length(text) ELSE 0 END) AS BIGINT) AS told FROM s GROUP BY 1""")
 def parse_plans(spark, d):
-    one, two = '{"op":"remove","clipId":"clp_1"}', '{"op":"setLabel","clipId":"clp_2"}'
-    kind = F.pmod("turn", F.lit(3))
-    said = F.when(kind == 0, F.lit(f'{{"summary":"s","ops":[{one}]}}')).when(kind == 1, F.lit(f"[{one},{two}]")).otherwise(F.concat(F.lit('{"text":"'), F.substring(F.regexp_replace("text", r'["\\\n\t\r]', " "), 1, 40), F.lit('"}')))
+    kind, text = F.pmod("turn", F.lit(3)), F.col("text")
+    clip = F.concat(F.lit("clp_"), F.col("conv_id").cast("string"))
+    remove = F.struct(F.lit("remove").alias("op"), clip.alias("clipId"))
+    label = F.to_json(F.struct(F.lit("setLabel").alias("op"), clip.alias("clipId"), text.alias("label")))
+    speed = F.to_json(F.struct(F.lit("setSpeed").alias("op"), clip.alias("clipId"), F.when(F.pmod("turn", F.lit(5)) == 4, 20.5).otherwise(2.0).alias("speed")))
+    said = F.when(kind == 0, F.to_json(F.struct(text.alias("summary"), F.array(remove).alias("ops")))).when(kind == 1, F.concat(F.lit("["), label, F.lit(","), speed, F.lit("]"))).otherwise(text)
     plans = projects.parse_plans(v.table(spark, d, "conversations").select("role", said.alias("value")))
-    good = F.col("error").isNull()
-    return plans.groupBy("role").agg(F.count(F.lit(1)).alias("replies"), F.count_if(good).alias("good"), F.sum(F.when(good, F.size("ops")).otherwise(0)).alias("ops"))
+    said_of = lambda what: F.count_if(F.exists("issues", lambda i: i.contains(what)))
+    return plans.groupBy("role").agg(
+        F.count(F.lit(1)).alias("replies"), F.count_if(F.col("error").isNull()).alias("good"), said_of("].label:").alias("long_labels"), said_of("].speed:").alias("too_fast"),
+        F.sum(F.coalesce(F.size("ops"), F.lit(0))).alias("ops"), F.sum(F.coalesce(F.char_length("summary"), F.lit(0))).cast("bigint").alias("told"),
+    )
 
 
 # The event tables span a month, so the rules run with intervals of hours.

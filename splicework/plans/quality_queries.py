@@ -43,7 +43,7 @@ SELECT timeline_id, 'error' AS severity, 'duplicate-clip-id' AS code, 'Duplicate
 UNION ALL SELECT timeline_id, 'error', 'empty-clip', 'Clip ' || clip_id || ' has sourceOut (' || source_out || ') <= sourceIn (' || source_in || ').', path || '.sourceOut', clip_id FROM chk WHERE source_out <= source_in
 UNION ALL SELECT timeline_id, 'error', 'missing-source', 'Clip ' || clip_id || ' references source ' || source_id || ', which is not in the project.', path || '.sourceId', clip_id FROM chk c ANTI JOIN sources s ON s.source_id = c.source_id
 UNION ALL SELECT c.timeline_id, 'error', 'out-of-bounds', 'Clip ' || clip_id || ' ends at ' || source_out || ' but source ' || c.source_id || ' is only ' || duration_us || ' long.', path || '.sourceOut', clip_id FROM chk c JOIN sources s ON s.source_id = c.source_id WHERE source_out > duration_us
-UNION ALL SELECT timeline_id, 'error', 'position-drift', 'Clip ' || clip_id || ' starts at ' || start || ' but a reflow puts it at ' || expected || '. Call normalizeTimeline() after mutating.', path || '.start', clip_id FROM chk WHERE expected <> start
+UNION ALL SELECT timeline_id, 'error', 'position-drift', 'Clip ' || clip_id || ' starts at ' || start || ' but a reflow puts it at ' || expected || '. Call reflow() after mutating.', path || '.start', clip_id FROM chk WHERE expected <> start
 UNION ALL SELECT timeline_id, 'error', 'overlap', 'Clips ' || prev_id || ' and ' || clip_id || ' overlap on video track ' || track_id || '.', 'tracks[' || track_id || '].clips', clip_id FROM chk WHERE enabled AND kind = 'video' AND start < prev_end"""
 
 

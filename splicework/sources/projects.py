@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators.library import mime_of
 from ..operators.quality import id_ok
 from .eventlog import newest
+from .shapes import CLIP_RULES, OP_RULES, broken
 
 #: Fixed value: the only document version read.
 SCHEMA_VERSION = 1
@@ -171,12 +172,23 @@ def media_usage(media: DataFrame) -> DataFrame:
     return media.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("size_bytes"))
 
 
+_OP = "struct<" + ",".join(f"{f}:string" for f in dict.fromkeys(r.field for r in OP_RULES)) + ">"
+
+
 def parse_plans(replies: DataFrame, value: str = "value") -> DataFrame:
-    """Replies as edit lists: an object with ``ops``, or a bare list; anything else is rejected."""
-    op = "array<struct<op:string,clipId:string,rationale:string>>"
-    whole = F.from_json(value, f"summary string, ops {op}")
-    bare = F.when(F.ltrim(F.col(value)).startswith("["), F.from_json(value, op))
-    rows = replies.withColumns({"summary": whole["summary"], "ops": F.coalesce(whole["ops"], bare)})
-    known = ("trim", "split", "remove", "setEnabled", "move", "setSpeed", "addEffect", "setColor", "setTransform", "removeEffect", "setAudio", "setLabel", "duplicateClip", "insertClip")
-    sound = F.col("ops").isNotNull() & F.forall("ops", lambda o: F.coalesce(o["op"].isin(*known), F.lit(False)))
-    return rows.withColumn("error", F.when(~sound, "reply did not match the op schema"))
+    """Replies as edit lists: an object with ``ops``, or a bare list; ``issues`` say where an edit breaks the shape of its kind.
+
+    A reply with any issue, or that is neither, has an ``error``. Fields are read as text, so numbers are told by how they are written.
+    """
+    whole = F.from_json(value, f"summary string, ops array<{_OP}>")
+    bare = F.when(F.ltrim(F.col(value)).startswith("["), F.from_json(value, f"array<{_OP}>"))
+    rows = replies.withColumn("__w", whole).withColumns({"summary": F.col("__w.summary"), "ops": F.coalesce("__w.ops", bare)}).drop("__w")
+    rows = rows.withColumn("issues", broken(F.col("ops"), OP_RULES, F.lit("ops"), "op"))
+    return rows.withColumn("error", F.when(F.col("ops").isNull() | (F.size("issues") > 0), "reply did not match the op schema"))
+
+
+def clip_issues(parsed: DataFrame) -> DataFrame:
+    """Shape issues of the clips of parsed documents: project_id, issue, with the place of the clip in its document."""
+    tracks = parsed.where("error is null").select(F.col("p.id").alias("project_id"), F.posexplode("p.timeline.tracks").alias("i", "t"))
+    at = F.concat(F.lit("timeline.tracks["), F.col("i").cast("string"), F.lit("].clips"))
+    return tracks.select("project_id", F.explode(broken(F.col("t.clips"), CLIP_RULES, at)).alias("issue"))

@@ -25,3 +25,28 @@ def test_a_whole_document_comes_back(spark):
     t = projects.project_tables(parsed)
     written = projects.assemble_projects(t["projects"], t["tracks"], t["clips"], t["effects"], t["sources"], t["revisions"]).collect()
     assert len(written) == 1 and json.loads(written[0].value) == document
+
+
+def test_shapes_of_edits(spark):
+    good = [
+        {"op": "trim", "clipId": "clp_1", "sourceIn": 0}, {"op": "split", "clipId": "clp_1", "at": 5, "newClipId": "clp_2"}, {"op": "setEnabled", "clipId": "clp_1", "enabled": False}, {"op": "setSpeed", "clipId": "clp_1", "speed": 0.05},
+        {"op": "addEffect", "clipId": "clp_1", "effect": {"id": "fx_1", "type": "volume"}}, {"op": "setColor", "clipId": "clp_1", "color": None}, {"op": "setAudio", "clipId": "clp_1", "audio": {"mute": True}},
+        {"op": "duplicateClip", "clipId": "clp_1", "at": "start"}, {"op": "insertClip", "trackId": "trk_1", "sourceId": "src_1", "sourceIn": 0, "sourceOut": 9}, {"op": "setLabel", "clipId": "clp_1", "label": ""},
+    ]
+    bad = [
+        ({"op": "trim"}, "clipId"), ({"op": "fly", "clipId": "clp_1"}, "op"), ({"op": "split", "clipId": "clp_1"}, "at"), ({"op": "setSpeed", "clipId": "clp_1", "speed": 21}, "speed"), ({"op": "setSpeed", "clipId": "clp_1", "speed": "fast"}, "speed"),
+        ({"op": "move", "clipId": "clp_1", "toIndex": -1}, "toIndex"), ({"op": "setAudio", "clipId": "clp_1", "audio": {"gain": 9}}, "audio"), ({"op": "setLabel", "clipId": "clp_1", "label": "x" * 201}, "label"),
+        ({"op": "duplicateClip", "clipId": "clp_1", "at": "end"}, "at"), ({"op": "insertClip", "trackId": "trk_1", "sourceId": "src_1", "sourceIn": 0}, "sourceOut"), ({"op": "remove", "clipId": "clip one"}, "clipId"), ({"op": "trim", "clipId": "clp_1", "sourceIn": 1.5}, "sourceIn"),
+    ]
+    replies = [json.dumps({"summary": "s", "ops": good}), json.dumps([o for o, _ in bad]), "[]", "prose", '{"ops": 5}', None]
+    got = projects.parse_plans(spark.createDataFrame([(i, r) for i, r in enumerate(replies)], "i int, value string")).orderBy("i").collect()
+    assert [r.error is None for r in got] == [True, False, True, False, False, False] and len(got[0].ops) == len(good)
+    assert [x.split(":")[0] for x in got[1].issues] == [f"ops[{i}].{field}" for i, (_, field) in enumerate(bad)]
+
+
+def test_shapes_of_clips(spark):
+    clip = lambda **more: {"id": "clp_1", "sourceId": "src_1", "sourceIn": 0, "sourceOut": 5, "start": 0, **more}
+    document = {"schemaVersion": 1, "id": "prj_1", "timeline": {"id": "tl_1", "tracks": [{"id": "trk_1", "clips": [clip(), clip(speed=0.01)]}, {"id": "trk_2"}, {"id": "trk_3", "clips": [clip(audio={"gain": 8.5}, sourceIn=-1)]}]}}
+    parsed = projects.parse_projects(spark.createDataFrame([(json.dumps(document),)], "value string"))
+    got = sorted(r.issue.split(":")[0] for r in projects.clip_issues(parsed).collect())
+    assert got == ["timeline.tracks[0].clips[1].speed", "timeline.tracks[2].clips[0].audio.gain", "timeline.tracks[2].clips[0].sourceIn"]
