@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,15 +17,16 @@ from .registry import corpus_query
 
 #: Longest phrase in words, fewest occurrences of a phrase, phrases reported per language.
 LONGEST, SUPPORT, TOP = 5, 100, 2000
-#: Words of a stored stretch of one language, words of a shard, different words a task counts before it hands them on.
-STRETCH, SHARD, COUNTED = 1 << 18, 1 << 21, 1 << 20
+#: Shards of the table; words of a stored stretch of one language, words whose phrases a task counts at once, and different
+#: words or phrases that it counts before it hands them on.
+SHARDS, STRETCH, AT_ONCE, COUNTED = 16, 1 << 16, 1 << 18, 1 << 16
 #: Bits of the filter for each candidate, and its smallest and largest size in bits (a power of two). A filter that is too small lets more
 #: phrases through to the exact counts; it loses none.
 BITS, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 27
-_PIECE, _WORD = re.compile(rb"[.,;:!?\x0A-\x0D]"), re.compile(rb"[\x20\x09]+")
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
-_LOWERED = bytes.maketrans(_UPPER, _LOWER)
+_ENDS = b".,;:!?\x0A\x0B\x0C\x0D"
+_PLAIN = bytes.maketrans(_UPPER + _ENDS, _LOWER + b"\n" * len(_ENDS))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -33,23 +34,35 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def pieces(text: bytes) -> list[list[bytes]]:
-    """The words of each piece of a text, A to Z in lower case."""
-    return [words for part in _PIECE.split(text.translate(_LOWERED)) if (words := [w for w in _WORD.split(part) if w])]
+def words_of(text: bytes) -> list[bytes]:
+    """The words of a text, A to Z in lower case, with an empty one after each piece."""
+    out: list[bytes] = []
+    for piece in text.translate(_PLAIN).split(b"\n"):
+        if words := piece.split():  # of bytes without line ends: splits at blanks and tabs only
+            out += words
+            out.append(b"")
+    return out
 
 
-def hashes_of(words: list[list[bytes]], known: dict[bytes, int]) -> np.ndarray:
-    """A number for each word, and 0 after each piece."""
-    if len(known) > COUNTED:
-        known.clear()
-    flat: list[int] = []
-    for piece in words:
-        for w in piece:
-            if (h := known.get(w)) is None:
-                h = known[w] = xxhash.xxh64_intdigest(w) | 1
-            flat.append(h)
-        flat.append(0)
-    return np.array(flat, dtype=np.uint64)
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, str]]:
+    """(text, lang) of each row, a few texts at a time, so that a batch is not in memory twice."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            yield from zip(part.column("text").to_pylist(), part.column("lang").to_pylist(), strict=True)
+
+
+class Numbers(dict):
+    """A number for each word, and 0 for the empty one."""
+
+    def __missing__(self, word: bytes) -> int:
+        number = self[word] = xxhash.xxh64_intdigest(word) | 1 if word else 0
+        return number
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > COUNTED:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 def seed_of(lang: str) -> np.uint64:
@@ -92,10 +105,10 @@ def known(found: DataFrame, rows: int) -> Known:
 
 def encoded(docs: DataFrame) -> DataFrame:
     """(text, lang) -> rows of two kinds: stretches of a language (lang, words, tokens: packed numbers of words) and counts of
-    a word in a task (lang, word, h, count). A text may go on in the next stretch, at the end of a piece."""
+    a word in a task (lang, word, h, count). A stretch ends with a text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        remembered: dict[bytes, int] = {}
+        numbers = Numbers()
         counts: dict[str, Counter] = defaultdict(Counter)
         held: dict[str, list[np.ndarray]] = defaultdict(list)
         size: Counter = Counter()
@@ -107,22 +120,19 @@ def encoded(docs: DataFrame) -> DataFrame:
 
         def counted_words() -> Iterator[pa.RecordBatch]:
             for lang, own in counts.items():
-                numbers = np.fromiter((xxhash.xxh64_intdigest(w) | 1 for w in own), np.uint64, len(own))
-                hashes, none = next(run_hashes(numbers, lang, 1)).view(np.int64), [None] * len(own)
+                own.pop(b"", None)
+                hashes, none = next(run_hashes(numbers.of(list(own)), lang, 1)).view(np.int64), [None] * len(own)
                 yield batch_of(lang=[lang] * len(own), words=none, tokens=none, word=[w.decode(errors="replace") for w in own], h=hashes, count=list(own.values()))
             counts.clear()
 
-        for batch in batches:
-            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                found = pieces(text)
-                for i in range(0, len(found), STRETCH // 8):  # a text of any length is packed bit by bit
-                    part = found[i : i + STRETCH // 8]
-                    for piece in part:
-                        counts[lang].update(piece)
-                    held[lang].append(hashes_of(part, remembered))
-                    size[lang] += len(held[lang][-1])
-                    if size[lang] > STRETCH:
-                        yield stretch(lang)
+        for text, lang in rows_of(batches):
+            if not (words := words_of(text)):
+                continue
+            counts[lang].update(words)
+            held[lang].append(numbers.of(words))
+            size[lang] += len(words)
+            if size[lang] > STRETCH:
+                yield stretch(lang)
             if sum(map(len, counts.values())) > COUNTED:
                 yield from counted_words()
         for lang in list(held):
@@ -133,28 +143,23 @@ def encoded(docs: DataFrame) -> DataFrame:
     return asked.mapInArrow(work, "lang string, words long, tokens binary, word string, h long, count long")
 
 
-_KINDS = {"lang": pa.string(), "words": pa.int64(), "tokens": pa.binary(), "word": pa.string(), "h": pa.int64(), "count": pa.int64(), "slack": pa.int64(), "phrase": pa.string()}
+_KINDS = {"lang": pa.string(), "words": pa.int64(), "tokens": pa.binary(), "word": pa.string(), "h": pa.int64(), "count": pa.int64(), "shard": pa.int64(), "phrase": pa.string()}
 
 
 def batch_of(**columns: object) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(v, _KINDS[k]) for k, v in columns.items()], list(columns))
+    return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, _KINDS[k]) for k, v in columns.items()], list(columns))
 
 
-def mined(stretches: DataFrame, n: dict[str, int], filters: list[Known], support: int, shard: int) -> DataFrame:
-    """The phrases of len(filters) + 1 words that are frequent in some shard: lang, h, count there, slack.
+def counts_of_shards(stretches: DataFrame, filters: list[Known], shards: int) -> DataFrame:
+    """Phrases of len(filters) + 1 words as each task finds them: lang, shard, h, count; rows without h have the words that were looked at.
 
-    A task joins its stretches of a language to shards of about ``shard`` words. A shard with w of the
-    language's n words reports what it has at least ``support`` * w / n times (t, rounded up): a phrase that no shard
-    reports has fewer than ``support`` in all. Only phrases are tried whose two parts of one word less passed the
-    ``filters`` of the rounds before. A row without h has t - 1, the most that the shard may keep back
-    of a phrase; the other rows take that off again.
+    A task's stretches belong to one shard. Only phrases are tried whose two parts of one word less passed the
+    ``filters`` of the rounds before.
     """
     k = len(filters) + 1
 
-    def of_shard(lang: str, parts: list[np.ndarray]) -> pa.RecordBatch:
-        tokens = np.concatenate(parts)
-        least = max(1, -(-support * int((tokens != 0).sum()) // n[lang]))
-        before = None
+    def counted_in(lang: str, parts: list[np.ndarray], shard: int) -> pa.RecordBatch:
+        tokens, before = np.concatenate(parts), None
         for size, hashes in enumerate(run_hashes(tokens, lang, k), 1):
             if size == k:
                 own = hashes[(hashes != 0) & before[: len(hashes)] & before[1 : len(hashes) + 1]]
@@ -162,61 +167,68 @@ def mined(stretches: DataFrame, n: dict[str, int], filters: list[Known], support
                 fits = (hashes != 0) & filters[size - 1].has(hashes)
                 before = fits if before is None else fits & before[: len(fits)] & before[1 : len(fits) + 1]
         found, count = np.unique(own, return_counts=True)
-        found, count = found[count >= least], count[count >= least]
-        slack = np.full(len(found) + 1, 1 - least)
-        slack[-1] = least - 1
-        return batch_of(lang=[lang] * len(slack), h=pa.array([*found.view(np.int64).tolist(), None], pa.int64()), count=np.r_[count, 0], slack=slack)
+        hashes, none = np.r_[found.view(np.int64), 0], np.arange(len(found) + 1) == len(found)
+        return batch_of(lang=pa.repeat(lang, len(hashes)), shard=np.full(len(hashes), shard), h=pa.array(hashes, pa.int64(), mask=none), count=np.r_[count, int((tokens != 0).sum())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[np.ndarray]] = defaultdict(list)
         size: Counter = Counter()
+        shard = TaskContext.get().partitionId() % shards
         for batch in batches:
-            for lang, tokens in zip(batch.column("lang").to_pylist(), batch.column("tokens"), strict=True):
-                held[lang].append(np.frombuffer(tokens.as_buffer(), dtype=np.uint64).copy())
+            for i in range(batch.num_rows):
+                lang = batch.column("lang")[i].as_py()
+                held[lang].append(np.frombuffer(batch.column("tokens")[i].as_buffer(), dtype=np.uint64).copy())
                 size[lang] += len(held[lang][-1])
-                if size[lang] > shard:
-                    yield of_shard(lang, held.pop(lang))
+                if size[lang] > AT_ONCE:
+                    yield counted_in(lang, held.pop(lang), shard)
                     size.pop(lang)
         for lang, parts in held.items():
-            yield of_shard(lang, parts)
+            yield counted_in(lang, parts, shard)
+
+    return stretches.select("lang", "tokens").mapInArrow(work, "lang string, shard long, h long, count long")
 
-    return stretches.select("lang", "tokens").mapInArrow(work, "lang string, h long, count long, slack long")
 
+def locally_frequent(counts: DataFrame, totals: DataFrame, support: int) -> tuple[DataFrame, DataFrame]:
+    """What each shard reports, (lang, h, spare), and what it may keep back, (lang, most), of a language's phrases.
 
-def candidates(reported: DataFrame, support: int) -> DataFrame:
-    """(lang, h) that may be frequent: what shards reported and what the others may have kept back reach the support."""
-    kept_back = checkpoint(reported.where("h IS NULL").groupBy("lang").agg(F.sum("slack").alias("most")))
-    sums = reported.where("h IS NOT NULL").groupBy("lang", "h").agg((F.sum("count") + F.sum("slack")).alias("sure"))
-    return small_or_spread(sums, kept_back, ["lang"], ["h"]).where(F.col("sure") + F.col("most") >= support).select("lang", "h")
+    A shard with w of the language's n words reports what it has at least t = ``support`` * w / n times, rounded up: a phrase that
+    no shard reports has fewer than ``support`` in all. A shard keeps back at most t - 1 of a phrase; ``spare`` is how
+    far a report goes beyond that, ``most`` the sum over the shards.
+    """
+    sums = checkpoint(counts.groupBy("lang", "shard", "h").agg(F.sum("count").alias("count")))
+    least = F.ceil(F.col("count") * F.lit(support) / F.col("n")).cast("long")
+    limits = checkpoint(sums.where("h IS NULL").join(totals, "lang").select("lang", "shard", F.greatest(least, F.lit(1)).alias("least")))
+    reports = small_or_spread(sums.where("h IS NOT NULL"), limits, ["lang", "shard"], ["h"]).where("count >= least")
+    return reports.select("lang", "h", (F.col("count") - F.col("least") + 1).alias("spare")), limits.groupBy("lang").agg(F.sum(F.col("least") - 1).alias("most"))
+
+
+def candidates(reports: DataFrame, kept_back: DataFrame, support: int) -> DataFrame:
+    """(lang, h) that may be frequent: what shards reported and what all may have kept back reach the support."""
+    sums = reports.groupBy("lang", "h").agg(F.sum("spare").alias("sure"))
+    return small_or_spread(sums, checkpoint(kept_back), ["lang"], ["h"]).where(F.col("sure") + F.col("most") >= support).select("lang", "h")
 
 
 def exact_counts(docs: DataFrame, filters: list[Known]) -> DataFrame:
     """(lang, phrase, f) of all phrases that pass the filters of their length, counted by their words in the texts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        remembered: dict[bytes, int] = {}
+        numbers = Numbers()
         counts: dict[str, Counter] = defaultdict(Counter)
-        held: dict[str, list[list[bytes]]] = defaultdict(list)
-        size: Counter = Counter()
+        held: dict[str, list[bytes]] = defaultdict(list)
 
         def count(lang: str) -> None:
-            part = held.pop(lang)
-            words = [w for piece in part for w in [*piece, b""]]
-            size.pop(lang)
+            words = held.pop(lang)
             before = None
-            for k, hashes in enumerate(run_hashes(hashes_of(part, remembered), lang, len(filters)), 1):
+            for k, hashes in enumerate(run_hashes(numbers.of(words), lang, len(filters)), 1):
                 fits = (hashes != 0) & filters[k - 1].has(hashes)
                 before = fits if before is None else fits & before[: len(fits)] & before[1 : len(fits) + 1]
                 if k > 1:
                     counts[lang].update(b" ".join(words[at : at + k]) for at in np.flatnonzero(before).tolist())
 
-        for batch in batches:
-            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                for piece in pieces(text):
-                    held[lang].append(piece)
-                    size[lang] += len(piece)
-                    if size[lang] > STRETCH // 4:
-                        count(lang)
+        for text, lang in rows_of(batches):
+            held[lang] += words_of(text)
+            if len(held[lang]) > STRETCH:
+                count(lang)
             if sum(map(len, counts.values())) > COUNTED:
                 yield from handed_on(counts)
         for lang in list(held):
@@ -232,7 +244,7 @@ def exact_counts(docs: DataFrame, filters: list[Known]) -> DataFrame:
     return asked.mapInArrow(work, "lang string, phrase string, count long").groupBy("lang", "phrase").agg(F.sum("count").alias("f"))
 
 
-def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
     """(text, lang) -> the phrases of 1 to ``longest`` words with at least ``support`` occurrences (lang, phrase, f), and (lang, n) of all words.
 
     Words are counted by themselves. For each further length the shards are mined and the union of what they report,
@@ -242,14 +254,13 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LON
     coded = checkpoint(encoded(docs))
     words = checkpoint(coded.where("word IS NOT NULL").groupBy("lang", "word", "h").agg(F.sum("count").alias("f")))
     totals = checkpoint(words.groupBy("lang").agg(F.sum("f").alias("n")))
-    n = {r.lang: r.n for r in totals.collect()}  # a row per language
     common, rows = counted(words.where(F.col("f") >= support))
     filters, frames = [known(common, rows)], []
     for _ in range(2, longest + 1):
-        reported = checkpoint(mined(coded.where("tokens IS NOT NULL"), n, filters, support, shard))
-        found, rows = counted(candidates(reported, support))
+        reports, kept_back = locally_frequent(counts_of_shards(coded.where("tokens IS NOT NULL"), filters, shards), totals, support)
+        found, rows = counted(candidates(reports, kept_back, support))
         filters.append(known(found, rows))
-        release(reported, found)
+        release(found)
         if not rows:
             break
     release(coded)
@@ -261,7 +272,7 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LON
     return out, totals
 
 
-def collocations(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, top: int = TOP, shard: int = SHARD) -> DataFrame:
+def collocations(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, top: int = TOP, shards: int = SHARDS) -> DataFrame:
     """(text, lang) -> the first ``top`` collocations per language: lang, rank, phrase, a, l, r, n, score.
 
     Texts in lower case (A to Z only) are cut at sentence marks and line ends, the pieces into words at blanks and tabs; a null
@@ -270,7 +281,7 @@ def collocations(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST
     counts, in whole numbers of 38 digits. A candidate within a longer one that is as frequent goes. Repeated rows
     count each time; other columns are not read.
     """
-    phrases, totals = frequent_phrases(docs, support, longest, shard)
+    phrases, totals = frequent_phrases(docs, support, longest, shards)
     split = phrases.withColumn("w", F.split("phrase", " ")).where(F.size("w") > 1)
     cuts = split.select("lang", "phrase", F.col("f").alias("a"), "w", F.explode(F.expr("sequence(1, size(w) - 1)")).alias("k"))
     part = lambda value, name, to: value.select("lang", F.col("phrase").alias(to), F.col("f").alias(name))

@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 
 from splicework.llm import phrases
+from splicework.session import checkpoint
 
 
 def plain(rows, support, top, longest=5):
@@ -39,26 +40,28 @@ def drawn(seed, texts):
     return [(draw.choice(["", " ", "\n"]) + draw.choice([". ", "\n", ",\t", " ! "]).join(piece() for _ in range(draw.randrange(6))), draw.choice(["en", "en", "de", None])) for _ in range(texts)]
 
 
-@pytest.mark.parametrize(("support", "shard", "bits"), [(12, phrases.SHARD, 1 << 20), (12, 40, 1 << 20), (3, 300, 64)])
-def test_against_plain_counts(spark, monkeypatch, support, shard, bits):
-    """In one shard, in hundreds, and with filters that are nearly full."""
+@pytest.mark.parametrize(("support", "shards", "bits"), [(12, 1, 1 << 20), (12, 16, 1 << 20), (3, 3, 64)])
+def test_against_plain_counts(spark, monkeypatch, support, shards, bits):
+    """In one shard, in several, and with filters that are nearly full."""
     monkeypatch.setattr(phrases, "LEAST_BITS", bits)
     monkeypatch.setattr(phrases, "MOST_BITS", bits)
     monkeypatch.setattr(phrases, "STRETCH", 64)
+    monkeypatch.setattr(phrases, "AT_ONCE", 200)
     rows = drawn(2, 400)
     df = spark.createDataFrame([(*r, "x", 1) for r in rows], "text string, lang string, phrase string, n int").repartition(3)
-    got = [tuple(r) for r in phrases.collocations(df, support, top=25, shard=shard).orderBy("lang", "rank").collect()]
+    got = [tuple(r) for r in phrases.collocations(df, support, top=25, shards=shards).orderBy("lang", "rank").collect()]
     assert got == plain(rows, support, 25) and got
 
 
 def test_shards_report_only_what_is_frequent_in_them(spark):
     rows = [("a b c", "en")] * 50 + [(f"u{i} v{i}", "en") for i in range(50)]
-    coded = phrases.encoded(spark.createDataFrame(rows, "text string, lang string").coalesce(1))
+    coded = checkpoint(phrases.encoded(spark.createDataFrame(rows, "text string, lang string").coalesce(1)))
     common = coded.where("word IS NOT NULL")
     every = [phrases.known(common, common.count())]
-    reported = phrases.mined(coded.where("tokens IS NOT NULL"), {"en": 250}, every, 20, phrases.SHARD)
-    assert {r["count"] for r in reported.collect()} == {0, 50} and reported.where("h IS NOT NULL").count() == 2
-    assert phrases.candidates(reported, 20).count() == 2 and phrases.candidates(reported, 51).count() == 0
+    totals = spark.createDataFrame([("en", 250)], "lang string, n long")
+    reports, kept_back = phrases.locally_frequent(phrases.counts_of_shards(coded.where("tokens IS NOT NULL"), every, 1), totals, 20)
+    assert [r.spare for r in reports.collect()] == [31, 31] and kept_back.first().most == 19
+    assert phrases.candidates(reports, kept_back, 50).count() == 2 and phrases.candidates(reports, kept_back, 51).count() == 0
 
 
 def test_odd_rows(spark):
@@ -71,6 +74,6 @@ def test_odd_rows(spark):
 def test_products_of_more_than_64_bits(spark, monkeypatch):
     found = spark.createDataFrame([("en", "a b", 3 * 10**12), ("en", "a", 4 * 10**12), ("en", "b", 5 * 10**12)], "lang string, phrase string, f long")
     totals = spark.createDataFrame([("en", 10**14)], "lang string, n long")
-    monkeypatch.setattr(phrases, "frequent_phrases", lambda *_: (found, totals))
+    monkeypatch.setattr(phrases, "frequent_phrases", lambda *_: (found, checkpoint(totals)))
     row = phrases.collocations(found).collect()[0]
     assert row.score == 1000 * 3 * 10**12 * 10**14 // (20 * 10**24) and (row.l, row.r) == (4 * 10**12, 5 * 10**12)
