@@ -19,10 +19,10 @@ from .registry import corpus_query
 LONGEST, SUPPORT, TOP = 5, 100, 2000
 #: Shards of the table; words of a stored stretch of one language, words whose phrases a task counts at once, and different
 #: words or phrases that it counts before it hands them on.
-SHARDS, STRETCH, AT_ONCE, COUNTED = 16, 1 << 16, 1 << 18, 1 << 16
+SHARDS, STRETCH, AT_ONCE, COUNTED = 16, 1 << 16, 1 << 19, 1 << 17
 #: Bits of the filter for each candidate, and its smallest and largest size in bits (a power of two). A filter that is too small lets more
 #: phrases through to the exact counts; it loses none.
-BITS, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 27
+BITS, LEAST_BITS, MOST_BITS = 64, 1 << 20, 1 << 27
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 _ENDS = b".,;:!?\x0A\x0B\x0C\x0D"
@@ -80,15 +80,22 @@ def run_hashes(tokens: np.ndarray, lang: str, longest: int = LONGEST) -> Iterato
         yield out
 
 
+#: Where in a hash the places of its two bits begin.
+PROBES = (1, 33)
+
+
 class Known:
-    """A filter of phrases: one bit each at a place that their hash gives."""
+    """A filter of phrases: two bits each at places that their hash gives."""
 
     def __init__(self, bits: np.ndarray):
         self.bits, self.low = bits, np.uint64(len(bits) * 64 - 1)
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
-        at = (hashes >> np.uint64(1)) & self.low
-        return (self.bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) != 0
+        found = np.ones(len(hashes), dtype=bool)
+        for shift in PROBES:
+            at = (hashes >> np.uint64(shift)) & self.low
+            found &= (self.bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) != 0
+        return found
 
 
 def known(found: DataFrame, rows: int) -> Known:
@@ -96,33 +103,35 @@ def known(found: DataFrame, rows: int) -> Known:
     size = LEAST_BITS
     while size < min(MOST_BITS, rows * BITS):
         size *= 2
-    at = F.shiftrightunsigned("h", 1).bitwiseAND(F.lit(size - 1))
-    words = found.select(F.shiftright(at, 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int")).alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
+    at = F.col("place")
+    places = found.select(F.explode(F.array(*[F.shiftrightunsigned("h", shift).bitwiseAND(F.lit(size - 1)) for shift in PROBES])).alias("place"))
+    words = places.select(F.shiftright(at, 6).alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(63).cast("int")).alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
     got, bits = words.toArrow(), np.zeros(size // 64, dtype=np.uint64)
     bits[got.column("at").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
     return Known(bits)
 
 
-def encoded(docs: DataFrame) -> DataFrame:
-    """(text, lang) -> rows of two kinds: stretches of a language (lang, words, tokens: packed numbers of words) and counts of
-    a word in a task (lang, word, h, count). A stretch ends with a text."""
+def encoded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """(text, lang) -> rows of two kinds: stretches of a language (lang, shard, words, tokens: packed numbers of words) and counts of
+    a word in a task (lang, word, h, count). A stretch ends with a text; those of a task are of one shard."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = Numbers()
         counts: dict[str, Counter] = defaultdict(Counter)
         held: dict[str, list[np.ndarray]] = defaultdict(list)
         size: Counter = Counter()
+        shard = TaskContext.get().partitionId() % shards
 
         def stretch(lang: str) -> pa.RecordBatch:
             tokens = np.concatenate(held.pop(lang))
             size.pop(lang)
-            return batch_of(lang=[lang], words=[int((tokens != 0).sum())], tokens=[tokens.tobytes()], word=[None], h=[None], count=[None])
+            return batch_of(lang=[lang], shard=[shard], words=[int((tokens != 0).sum())], tokens=[tokens.tobytes()], word=[None], h=[None], count=[None])
 
         def counted_words() -> Iterator[pa.RecordBatch]:
             for lang, own in counts.items():
                 own.pop(b"", None)
                 hashes, none = next(run_hashes(numbers.of(list(own)), lang, 1)).view(np.int64), [None] * len(own)
-                yield batch_of(lang=[lang] * len(own), words=none, tokens=none, word=[w.decode(errors="replace") for w in own], h=hashes, count=list(own.values()))
+                yield batch_of(lang=[lang] * len(own), shard=none, words=none, tokens=none, word=[w.decode(errors="replace") for w in own], h=hashes, count=list(own.values()))
             counts.clear()
 
         for text, lang in rows_of(batches):
@@ -140,7 +149,7 @@ def encoded(docs: DataFrame) -> DataFrame:
         yield from counted_words()
 
     asked = docs.select(F.coalesce("text", F.lit("")).cast("binary").alias("text"), F.coalesce("lang", F.lit("und")).alias("lang"))
-    return asked.mapInArrow(work, "lang string, words long, tokens binary, word string, h long, count long")
+    return asked.mapInArrow(work, "lang string, shard long, words long, tokens binary, word string, h long, count long")
 
 
 _KINDS = {"lang": pa.string(), "words": pa.int64(), "tokens": pa.binary(), "word": pa.string(), "h": pa.int64(), "count": pa.int64(), "shard": pa.int64(), "phrase": pa.string()}
@@ -150,15 +159,14 @@ def batch_of(**columns: object) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, _KINDS[k]) for k, v in columns.items()], list(columns))
 
 
-def counts_of_shards(stretches: DataFrame, filters: list[Known], shards: int) -> DataFrame:
-    """Phrases of len(filters) + 1 words as each task finds them: lang, shard, h, count; rows without h have the words that were looked at.
+def counts_of_shards(stretches: DataFrame, filters: list[Known]) -> DataFrame:
+    """Phrases of len(filters) + 1 words with their counts in some stretches of a shard: lang, shard, h, count.
 
-    A task's stretches belong to one shard. Only phrases are tried whose two parts of one word less passed the
-    ``filters`` of the rounds before.
+    Only phrases are tried whose two parts of one word less passed the ``filters`` of the rounds before.
     """
     k = len(filters) + 1
 
-    def counted_in(lang: str, parts: list[np.ndarray], shard: int) -> pa.RecordBatch:
+    def counted_in(lang: str, shard: int, parts: list[np.ndarray]) -> pa.RecordBatch:
         tokens, before = np.concatenate(parts), None
         for size, hashes in enumerate(run_hashes(tokens, lang, k), 1):
             if size == k:
@@ -167,45 +175,44 @@ def counts_of_shards(stretches: DataFrame, filters: list[Known], shards: int) ->
                 fits = (hashes != 0) & filters[size - 1].has(hashes)
                 before = fits if before is None else fits & before[: len(fits)] & before[1 : len(fits) + 1]
         found, count = np.unique(own, return_counts=True)
-        hashes, none = np.r_[found.view(np.int64), 0], np.arange(len(found) + 1) == len(found)
-        return batch_of(lang=pa.repeat(lang, len(hashes)), shard=np.full(len(hashes), shard), h=pa.array(hashes, pa.int64(), mask=none), count=np.r_[count, int((tokens != 0).sum())])
+        return batch_of(lang=pa.repeat(lang, len(found)), shard=np.full(len(found), shard), h=found.view(np.int64), count=count)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[np.ndarray]] = defaultdict(list)
+        held: dict[tuple[str, int], list[np.ndarray]] = defaultdict(list)
         size: Counter = Counter()
-        shard = TaskContext.get().partitionId() % shards
         for batch in batches:
             for i in range(batch.num_rows):
-                lang = batch.column("lang")[i].as_py()
-                held[lang].append(np.frombuffer(batch.column("tokens")[i].as_buffer(), dtype=np.uint64).copy())
-                size[lang] += len(held[lang][-1])
-                if size[lang] > AT_ONCE:
-                    yield counted_in(lang, held.pop(lang), shard)
-                    size.pop(lang)
-        for lang, parts in held.items():
-            yield counted_in(lang, parts, shard)
+                key = batch.column("lang")[i].as_py(), batch.column("shard")[i].as_py()
+                held[key].append(np.frombuffer(batch.column("tokens")[i].as_buffer(), dtype=np.uint64).copy())
+                size[key] += len(held[key][-1])
+                if size[key] > AT_ONCE:
+                    yield counted_in(*key, held.pop(key))
+                    size.pop(key)
+        for key, parts in held.items():
+            yield counted_in(*key, parts)
 
-    return stretches.select("lang", "tokens").mapInArrow(work, "lang string, shard long, h long, count long")
+    return stretches.select("lang", "shard", "tokens").mapInArrow(work, "lang string, shard long, h long, count long")
 
 
-def locally_frequent(counts: DataFrame, totals: DataFrame, support: int) -> tuple[DataFrame, DataFrame]:
-    """What each shard reports, (lang, h, spare), and what it may keep back, (lang, most), of a language's phrases.
+def limits_of(stretches: DataFrame, totals: DataFrame, support: int) -> DataFrame:
+    """(lang, shard, least): a shard with w of the language's n words reports what it has at least ``support`` * w / n times, rounded up.
 
-    A shard with w of the language's n words reports what it has at least t = ``support`` * w / n times, rounded up: a phrase that
-    no shard reports has fewer than ``support`` in all. A shard keeps back at most t - 1 of a phrase; ``spare`` is how
-    far a report goes beyond that, ``most`` the sum over the shards.
+    A phrase that no shard reports then has fewer than ``support`` in all.
     """
-    sums = checkpoint(counts.groupBy("lang", "shard", "h").agg(F.sum("count").alias("count")))
-    least = F.ceil(F.col("count") * F.lit(support) / F.col("n")).cast("long")
-    limits = checkpoint(sums.where("h IS NULL").join(totals, "lang").select("lang", "shard", F.greatest(least, F.lit(1)).alias("least")))
-    reports = small_or_spread(sums.where("h IS NOT NULL"), limits, ["lang", "shard"], ["h"]).where("count >= least")
-    return reports.select("lang", "h", (F.col("count") - F.col("least") + 1).alias("spare")), limits.groupBy("lang").agg(F.sum(F.col("least") - 1).alias("most"))
+    words = stretches.groupBy("lang", "shard").agg(F.sum("words").alias("words")).join(totals, "lang")
+    return words.select("lang", "shard", F.greatest(F.call_function("div", F.col("words") * F.lit(support) + F.col("n") - 1, F.col("n")), F.lit(1)).cast("long").alias("least"))
+
+
+def reported(counts: DataFrame, limits: DataFrame) -> DataFrame:
+    """(lang, h, spare) of the phrases that a shard has often enough; ``spare``: how far beyond what it might have kept back."""
+    sums = counts.groupBy("lang", "shard", "h").agg(F.sum("count").alias("count"))
+    return small_or_spread(sums, limits, ["lang", "shard"], ["h"]).where("count >= least").select("lang", "h", (F.col("count") - F.col("least") + 1).alias("spare"))
 
 
 def candidates(reports: DataFrame, kept_back: DataFrame, support: int) -> DataFrame:
-    """(lang, h) that may be frequent: what shards reported and what all may have kept back reach the support."""
+    """(lang, h) that may be frequent: what shards reported and what all may have kept back (lang, most) reach the support."""
     sums = reports.groupBy("lang", "h").agg(F.sum("spare").alias("sure"))
-    return small_or_spread(sums, checkpoint(kept_back), ["lang"], ["h"]).where(F.col("sure") + F.col("most") >= support).select("lang", "h")
+    return small_or_spread(sums, kept_back, ["lang"], ["h"]).where(F.col("sure") + F.col("most") >= support).select("lang", "h")
 
 
 def exact_counts(docs: DataFrame, filters: list[Known]) -> DataFrame:
@@ -251,14 +258,17 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LON
     less what cannot reach the support, passes on as a filter; then one pass over the texts counts all
     candidates by their words, so that neither equal hashes nor a full filter change a result.
     """
-    coded = checkpoint(encoded(docs))
+    coded = checkpoint(encoded(docs, shards))
+    stretches = coded.where("tokens IS NOT NULL")
     words = checkpoint(coded.where("word IS NOT NULL").groupBy("lang", "word", "h").agg(F.sum("count").alias("f")))
     totals = checkpoint(words.groupBy("lang").agg(F.sum("f").alias("n")))
+    limits = checkpoint(limits_of(stretches, totals, support))
+    kept_back = checkpoint(limits.groupBy("lang").agg(F.sum(F.col("least") - 1).alias("most")))
     common, rows = counted(words.where(F.col("f") >= support))
+    release(words)
     filters, frames = [known(common, rows)], []
     for _ in range(2, longest + 1):
-        reports, kept_back = locally_frequent(counts_of_shards(coded.where("tokens IS NOT NULL"), filters, shards), totals, support)
-        found, rows = counted(candidates(reports, kept_back, support))
+        found, rows = counted(candidates(reported(counts_of_shards(stretches, filters), limits), kept_back, support))
         filters.append(known(found, rows))
         release(found)
         if not rows:
@@ -268,7 +278,7 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LON
     if len(filters) > 1:
         frames = frames.unionByName(exact_counts(docs, filters).where(F.col("f") >= support))
     out = checkpoint(frames)
-    release(words, common)
+    release(common)
     return out, totals
 
 

@@ -59,8 +59,12 @@ def test_shards_report_only_what_is_frequent_in_them(spark):
     common = coded.where("word IS NOT NULL")
     every = [phrases.known(common, common.count())]
     totals = spark.createDataFrame([("en", 250)], "lang string, n long")
-    reports, kept_back = phrases.locally_frequent(phrases.counts_of_shards(coded.where("tokens IS NOT NULL"), every, 1), totals, 20)
-    assert [r.spare for r in reports.collect()] == [31, 31] and kept_back.first().most == 19
+    stretches = coded.where("tokens IS NOT NULL")
+    limits = checkpoint(phrases.limits_of(stretches, totals, 20))
+    assert [tuple(r) for r in limits.collect()] == [("en", 0, 20)]
+    reports = phrases.reported(phrases.counts_of_shards(stretches, every), limits)
+    kept_back = checkpoint(spark.createDataFrame([("en", 19)], "lang string, most long"))
+    assert [r.spare for r in reports.collect()] == [31, 31]
     assert phrases.candidates(reports, kept_back, 50).count() == 2 and phrases.candidates(reports, kept_back, 51).count() == 0
 
 
