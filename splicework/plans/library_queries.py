@@ -325,15 +325,15 @@ def sample_offsets(spark, d):
 
 
 @query("samples_in_window", "J11", sql=f"""WITH {SAMPLES}, t AS (SELECT track_id, sample_no, sample_no * 33366 AS time_us, 33000 AS duration_us FROM samples),
-w AS (SELECT c_custkey AS window_id, c_custkey % 150 AS track_id, (c_custkey * 7919) % 2000000 AS from_us, (c_custkey * 7919) % 2000000 + 300000 AS to_us FROM customer),
+w AS (SELECT event_id AS window_id, user_id AS track_id, (event_id * 7919) % 4000000 AS from_us, (event_id * 7919) % 4000000 + 300000 AS to_us FROM events),
 m AS (SELECT w.*, (SELECT min(sample_no) FROM t WHERE t.track_id = w.track_id AND time_us + duration_us > from_us) AS first FROM w),
 f AS (SELECT *, greatest(0, first - 2) AS lo FROM m WHERE first IS NOT NULL)
 SELECT window_id, t.track_id, sample_no FROM f JOIN t ON t.track_id = f.track_id AND sample_no >= lo AND time_us < to_us""")
 def samples_in_window(spark, d):
     t = media_samples(spark, d).select("track_id", "sample_no", (F.col("sample_no") * 33366).alias("time_us"), F.lit(33000).alias("duration_us"))
-    key = F.col("c_custkey")
-    begin = F.pmod(key * 7919, F.lit(2_000_000))
-    w = v.table(spark, d, "customer").select(key.alias("window_id"), F.pmod(key, F.lit(150)).alias("track_id"), begin.alias("from_us"), (begin + 300_000).alias("to_us"))
+    # A window per event, over the whole length of its track and beyond.
+    begin = F.pmod(F.col("event_id") * 7919, F.lit(4_000_000))
+    w = v.table(spark, d, "events").select(F.col("event_id").alias("window_id"), F.col("user_id").alias("track_id"), begin.alias("from_us"), (begin + 300_000).alias("to_us"))
     return media.samples_in_window(t, w).select("window_id", "track_id", "sample_no")
 
 
