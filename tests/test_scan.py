@@ -62,3 +62,20 @@ def test_overlaps_come_once(spark):
     b = spark.createDataFrame([("s", 10, 90), ("s", 41, 50), ("s", 94, 94)], "k string, b0 bigint, b1 bigint")
     got = rows(intervals.overlapping(a, b, ["k"], ("a0", "a1"), ("b0", "b1"), width=7).select("a0", "b0"))
     assert got == [(0, 10), (0, 41), (40, 10)]
+
+
+def test_counted_keys_are_not_counted_again(spark):
+    df = spark.createDataFrame([("a", 0), ("a", 1), ("b", 0)], "k string, i bigint")
+    spark.conf.set("spark.splicework.smallBytes", "0")
+    try:
+        placed = sc.ordinals(df, ["k"], ["i"], "n", coarse=F.col("i"))
+        named = placed.select(F.col("k").alias("key"), "n").where("n >= 0").join(placed.select(F.col("k").alias("key")).distinct(), "key")
+        assert sc.is_light(named, ["key", "n"]) and not sc.is_light(named, ["n"])
+        assert sc._most(named, ["key", "n"], ["n"]) is None
+        other = named.select(F.concat("key").alias("key"), "n")
+        assert not sc.is_light(sc.stacked(named, other, ["key"]), ["key"]) and sc.is_light(sc.stacked(named, named, ["key"]), ["key"])
+        spark.conf.set("spark.splicework.heavyRows", "100")  # no headroom left
+        assert not sc.is_light(named, ["key"])
+    finally:
+        spark.conf.unset("spark.splicework.smallBytes")
+        spark.conf.unset("spark.splicework.heavyRows")
