@@ -229,3 +229,24 @@ def test_keys_follow_the_footage(spark):
     assert after(op="trim", source_in=150) == [[(0, 1.5), (50, 2.0)]]
     assert after(op="setSpeed", speed=2.0) == [[(0, 1.0), (50, 2.0)]]
     assert after(op="split", at=40, new_clip_id="clp_r") == [[(0, 1.0), (40, 1.4)], [(0, 1.4), (60, 2.0)]]
+
+
+def test_edits_and_clips_without_a_timeline_stay_apart(spark):
+    clip = [(None, 0, "video", 0, "a", 1, 0, 100, 0, 1.0, True, 1.0, False, None), (1, 0, "video", 0, "a", 1, 0, 100, 0, 1.0, True, 1.0, False, None)]
+    clips = r.prepare_clips(spark.createDataFrame(clip, CLIP_COLS))
+    cols = "timeline_id bigint, op_idx bigint, op string, clip_id string, source_in bigint, source_out bigint, track_id bigint, source_id bigint"
+    ops = spark.createDataFrame([(None, 0, "remove", "a", None, None, None, None), (1, 0, "insertClip", None, 0, 50, None, None), (1, 1, "insertClip", None, 0, 50, 0, 1)], cols)
+    sources = spark.createDataFrame([(1, 1000)], "source_id bigint, duration_us bigint")
+    tracks = spark.createDataFrame([(1, 0, "video")], "timeline_id bigint, track_id bigint, kind string")
+    prepared = r.prepare_ops(ops, sources, tracks)
+    assert rows(prepared.select("timeline_id", "e.op_idx", "e.source_len", "e.track_kind")) == [(1, 0, -1, None), (1, 1, 1000, "video"), (None, 0, None, None)]
+    done = r.replay_by_timeline(clips, prepared)
+    assert rows(done.clips.select("timeline_id", "clip_id")) == [(1, "a"), (1, "clp_e1"), (None, "a")]
+    assert rows(done.outcomes.select("timeline_id", "op_idx", F.col("message").isNull())) == [(1, 0, False), (1, 1, True), (None, 0, False)]
+
+
+def test_rows_are_shuffled_once_for_a_fold(spark):
+    clips = r.prepare_clips(spark.createDataFrame([], CLIP_COLS))
+    ops = r.prepare_ops(spark.createDataFrame([], OP_COLS))
+    plan = r.fold(clips, ops, ["timeline_id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Aggregate [") == 1
