@@ -38,15 +38,17 @@ _AS_TEXT = {"coarse_snapshot": "coarseSnapshot", "review": "review", "render": "
 
 def parse_projects(documents: DataFrame, value: str = "value") -> DataFrame:
     """Documents with their content ``p`` and an ``error``; a bad one never hides the others."""
-    rows = documents.withColumn("p", F.from_json(F.col(value), DOCUMENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
-    p = F.col("p")
-    error = (
-        F.when(p.isNull() | p["_bad"].isNotNull(), "not a JSON object of the project shape")
-        .when(~F.coalesce(p["schemaVersion"] == SCHEMA_VERSION, F.lit(False)), F.concat(F.lit("schema version "), F.coalesce(p["schemaVersion"].cast("string"), F.lit("missing"))))
-        .when(~F.coalesce(id_ok("project", p["id"]), F.lit(False)), "id: expected a project id")
-        .when(p["timeline"].isNull() | F.coalesce(F.size(p["timeline"]["tracks"]) < 1, F.lit(True)), "timeline: expected at least one track")
-    )
-    return rows.withColumn("error", error)
+    def error(p: Column) -> Column:
+        return (
+            F.when(p.isNull() | p["_bad"].isNotNull(), "not a JSON object of the project shape")
+            .when(~F.coalesce(p["schemaVersion"] == SCHEMA_VERSION, F.lit(False)), F.concat(F.lit("schema version "), F.coalesce(p["schemaVersion"].cast("string"), F.lit("missing"))))
+            .when(~F.coalesce(id_ok("project", p["id"]), F.lit(False)), "id: expected a project id")
+            .when(p["timeline"].isNull() | F.coalesce(F.size(p["timeline"]["tracks"]) < 1, F.lit(True)), "timeline: expected at least one track")
+        )
+
+    # As rows of a list, so that a document is parsed once however often its parts are asked for.
+    whole = F.from_json(F.col(value), DOCUMENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    return documents.select("*", F.inline(F.transform(F.array(whole), lambda p: F.struct(p.alias("p"), error(p).alias("error")))))
 
 
 def read_projects(spark: SparkSession, path: str, per_file: bool = True) -> DataFrame:
@@ -95,14 +97,22 @@ def _listed(df: DataFrame, keys: list[str], order: str, item: Column, name: str)
     return df.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), item.alias("item")))), lambda x: x["item"]).alias(name))
 
 
+def _object(scalars: Column, **lists: str) -> Column:
+    """JSON text of an object with ``scalars``, and of columns with lists of JSON text, which goes in as it is."""
+    heads = [F.concat(F.lit(f'"{name}":['), F.array_join(F.coalesce(c, F.array().cast("array<string>")), ","), F.lit("]")) for name, c in lists.items()]
+    rest = F.regexp_replace(F.substring(F.to_json(scalars), 2, (1 << 31) - 1), r'\A(?=")', ",")
+    return F.concat(F.lit("{"), F.concat_ws(",", *heads), rest)
+
+
 def assemble_projects(projects: DataFrame, tracks: DataFrame, clips: DataFrame, effects: DataFrame | None = None, sources: DataFrame | None = None, revisions: DataFrame | None = None) -> DataFrame:
     """Documents as JSON text from the flat tables; one document is the unit of output.
 
-    Every level is gathered on its own keys before it joins the next, so no join multiplies rows. What is stored as JSON
-    text is written as JSON again; columns that a table lacks, and nulls, are left out of the document. Clips are told apart by
+    Every level is gathered on its own keys before it joins the next, so no join multiplies rows; its text goes into the
+    next as it is. What is stored as JSON text is written as JSON again; columns that a table lacks, and nulls, are left out of the document. Clips are told apart by
     track and position, so repeated ids keep their own effects.
     """
     json = lambda c: F.try_parse_json(F.col(c))
+    none = F.array().cast("array<string>")
     clips = _optional(clips, "origin")
     parts = clips
     if effects is not None:
@@ -111,15 +121,14 @@ def assemble_projects(projects: DataFrame, tracks: DataFrame, clips: DataFrame,
         item = F.to_json(effect)  # variants can't be compared, so they are gathered as text
         parts = clips.join(_listed(effects, ["timeline_id", "track_id", "ord"], "effect_ord", item, "effects"), ["timeline_id", "track_id", "ord"], "left")
     else:
-        parts = clips.withColumn("effects", F.array().cast("array<string>"))
+        parts = clips.withColumn("effects", none)
     clip = F.struct(
         F.col("clip_id").alias("id"), F.col("source_id").cast("string").alias("sourceId"), F.col("source_in").alias("sourceIn"), F.col("source_out").alias("sourceOut"), "start", "speed", "enabled",
-        F.struct("gain", "mute").alias("audio"), F.transform(F.coalesce("effects", F.array().cast("array<string>")), F.try_parse_json).alias("effects"), "label", json("origin").alias("origin"),
+        F.struct("gain", "mute").alias("audio"), "label", json("origin").alias("origin"),
     )
-    listed = _listed(parts.withColumn("__item", F.to_json(clip)), ["timeline_id", "track_id"], "ord", F.col("__item"), "clips")
-    none = F.array().cast("array<string>")
-    track = F.struct(F.col("track_id").alias("id"), "kind", "name", F.transform(F.coalesce("clips", none), F.try_parse_json).alias("clips"), "muted", "locked")
-    lanes = _optional(tracks, "name").join(listed, ["timeline_id", "track_id"], "left").withColumn("__item", F.to_json(track))
+    listed = _listed(parts.withColumn("__item", _object(clip, effects="effects")), ["timeline_id", "track_id"], "ord", F.col("__item"), "clips")
+    track = F.struct(F.col("track_id").alias("id"), "kind", "name", "muted", "locked")
+    lanes = _optional(tracks, "name").join(listed, ["timeline_id", "track_id"], "left").withColumn("__item", _object(track, clips="clips"))
     rows = projects.join(_listed(lanes, ["timeline_id"], "track_no", F.col("__item"), "tracks"), "timeline_id")
     if sources is not None:
         own = _optional(sources, "mime", "size_bytes")
@@ -134,14 +143,14 @@ def assemble_projects(projects: DataFrame, tracks: DataFrame, clips: DataFrame,
     else:
         rows = rows.withColumn("revisions", none)
     rows = _optional(rows, "created_at", "head_revision_id", "coarse_snapshot_at", *_AS_TEXT)
-    whole = lambda c: F.transform(F.coalesce(c, none), F.try_parse_json).alias(c)
-    timeline = F.struct(F.col("timeline_id").alias("id"), F.struct(F.col("fps_num").alias("num"), F.col("fps_den").alias("den")).alias("frameRate"), F.struct("width", "height").alias("resolution"), whole("tracks"))
+    timeline = F.struct(F.col("timeline_id").alias("id"), F.struct(F.col("fps_num").alias("num"), F.col("fps_den").alias("den")).alias("frameRate"), F.struct("width", "height").alias("resolution"))
     document = F.struct(
         F.lit(SCHEMA_VERSION).alias("schemaVersion"), F.col("project_id").alias("id"), "name", F.coalesce("created_at", "updated_at").alias("createdAt"), F.col("updated_at").alias("updatedAt"),
-        whole("sources"), timeline.alias("timeline"), "stage", F.col("coarse_snapshot_at").alias("coarseSnapshotAt"), whole("revisions"), F.col("head_revision_id").cast("string").alias("headRevisionId"),
+        "stage", F.col("coarse_snapshot_at").alias("coarseSnapshotAt"), F.col("head_revision_id").cast("string").alias("headRevisionId"),
         F.col("brief").alias("brief"), F.col("target_us").alias("targetDurationUs"), *[json(c).alias(field) for c, field in _AS_TEXT.items()],
     )
-    return rows.select("project_id", F.to_json(document).alias("value"))
+    whole = F.concat(F.lit('{"timeline":'), _object(timeline, tracks="tracks"), F.lit(","), F.substring(_object(document, sources="sources", revisions="revisions"), 2, (1 << 31) - 1))
+    return rows.select("project_id", whole.alias("value"))
 
 
 def write_projects(documents: DataFrame, path: str, mode: str = "errorifexists") -> None:

@@ -2,6 +2,8 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from splicework.sources import projects
 
 
@@ -50,3 +52,23 @@ def test_shapes_of_clips(spark):
     parsed = projects.parse_projects(spark.createDataFrame([(json.dumps(document),)], "value string"))
     got = sorted(r.issue.split(":")[0] for r in projects.clip_issues(parsed).collect())
     assert got == ["timeline.tracks[0].clips[1].speed", "timeline.tracks[2].clips[0].audio.gain", "timeline.tracks[2].clips[0].sourceIn"]
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_documents_are_parsed_once_and_their_text_never_again(spark):
+    one = {"schemaVersion": 1, "id": "prj_1", "timeline": {"id": "tl_1", "tracks": [{"id": "trk_1", "clips": [{"id": "clp_1", "sourceIn": 0, "speed": 0.5}]}, {"id": "trk_2", "clips": []}]}}
+    t = projects.project_tables(projects.parse_projects(spark.createDataFrame([(json.dumps(one),), ("{",), (None,)], "value string")))
+    assert {name: plan(df).count("from_json") for name, df in t.items()} == dict.fromkeys(t, 1)
+    assert [(r.clip_id, r.source_in, r.speed) for r in t["clips"].collect()] == [("clp_1", 0, 0.5)]
+    written = projects.assemble_projects(t["projects"], t["tracks"], t["clips"])
+    assert "transform(" not in plan(written.select("value")).split("Aggregate")[0]  # lists of texts are joined as they are
+    assert [json.loads(r.value)["timeline"]["tracks"][0]["clips"][0]["speed"] for r in written.collect()] == [0.5]
+
+
+def test_objects_without_fields_of_their_own(spark):
+    row = spark.createDataFrame([(None, ["1", '{"b":2}'], None)], "a string, x array<string>, y array<string>")
+    got = row.select(projects._object(F.struct("a"), x="x", y="y").alias("v"), projects._object(F.struct(F.lit(',"}').alias("k")), x="x").alias("w")).first()
+    assert (got.v, got.w) == ('{"x":[1,{"b":2}],"y":[]}', '{"x":[1,{"b":2}],"k":",\\"}"}')
