@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions.numeric import quotient
 from ..sources import eventlog, projects
 from ..streaming import timing
@@ -125,7 +126,8 @@ def document_parts(spark, d):
         F.transform(F.array_sort(F.collect_list(F.struct("key_idx", F.struct("t", framing.alias("value"), "easing").alias("k")))), lambda x: x["k"]).alias("keyframes")
     ).withColumns({"rect": F.lit(None).cast("string"), "color": F.lit(None).cast("string")})
     lanes = tracks(spark, d).withColumn("track_no", F.col("track_id")).join(p.select("timeline_id"), "timeline_id", "left_semi")
-    back = projects.project_tables(projects.parse_projects(projects.assemble_projects(p, lanes, clips, keys, sources, revisions)))
+    documents = projects.parse_projects(projects.assemble_projects(p, lanes, clips, keys, sources, revisions))
+    back = projects.project_tables(session.checkpoint(documents.select("p", "error")))
     row = lambda df, part, id_, n, m, a, x=None: df.select(F.lit(part).alias("part"), id_.alias("id"), n.cast("bigint").alias("n"), m.cast("bigint").alias("m"), a.alias("a"), (F.lit(None) if x is None else x).cast("double").alias("x"))
     c, own = F.col, back["effects"].select("effect_id", F.posexplode("keyframes").alias("i", "k"))
     text = F.concat_ws("|", "created_at", "head_revision_id", F.coalesce("brief", F.lit("-")), F.get_json_object("review", "$.summary"))
