@@ -61,3 +61,12 @@ def test_other_tracks_stand_in_order_of_start_and_id(spark):
     df = spark.createDataFrame(rows_in, "timeline_id bigint, track_id bigint, kind string, ord bigint, clip_id string, source_in bigint, source_out bigint, start bigint, speed double, enabled boolean")
     got = [(r.clip_id, r.ord, r.start) for r in tl.reflow(df).orderBy("track_id", "ord").collect()]
     assert got == [("v1", 0, 0), ("v2", 1, 5), ("clp_b", 2, 10), ("clp_0", 3, 500), ("clp_a", 4, 500)]
+
+
+def test_dropped_regions_need_no_join(spark):
+    clips = spark.createDataFrame([(1, 7, 2 * S, 4 * S, True), (1, 7, 6 * S, 7 * S, False), (2, 7, 1 * S, 2 * S, True), (None, 7, 1 * S, 3 * S, True)], "timeline_id long, source_id long, source_in long, source_out long, enabled boolean")
+    sources = spark.createDataFrame([(1, 7, 9 * S), (None, 7, 5 * S)], "timeline_id long, source_id long, duration_us long")
+    found = tl.dropped_regions(clips, sources)
+    got = sorted(((r.timeline_id, r.start // S, r.end // S) for r in found.collect()), key=str)
+    assert got == [(1, 0, 2), (1, 4, 9), (None, 0, 5)]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
