@@ -79,3 +79,16 @@ def test_counted_keys_are_not_counted_again(spark):
     finally:
         spark.conf.unset("spark.splicework.smallBytes")
         spark.conf.unset("spark.splicework.heavyRows")
+
+
+def test_first_rows_come_from_the_same_pass(spark, skewed, request):
+    """The first right row of a key, also where several share its instant."""
+    first = dict(f=sc.first_known(F.col("x")))
+    left = spark.createDataFrame([("hot", 0), ("hot", 5), ("hot", 40), (None, 5), ("none", 1)], "k string, at bigint")
+    keys = spark.createDataFrame([("hot", 5, 0, 1.0, "hold"), ("hot", 5, 1, 2.0, "linear"), ("hot", 9, 2, 4.0, "linear"), ("hot", 30, 3, 6.0, "hold"), (None, 9, 0, 3.0, "hold")], "k string, t bigint, key_idx bigint, v double, easing string")
+    valued = lambda: asof.asof_interpolate(left, keys, ["k"], "at", ["v"])
+    plain, found = rows(sc.scan(skewed, ["k"], ["i"], ordinal="i", **first)), rows(valued())
+    assert sorted(found, key=str) == sorted([("hot", 0, 1.0), ("hot", 5, 1.0), ("hot", 40, 6.0), (None, 5, 3.0), ("none", 1, None)], key=str)
+    assert "Join" not in valued()._jdf.queryExecution().optimizedPlan().toString()
+    request.getfixturevalue("split")
+    assert rows(sc.scan(skewed, ["k"], ["i"], ordinal="i", **first)) == plain and rows(valued()) == found
