@@ -24,7 +24,7 @@ SHORT, SHORT_RUN, BOTH = 64, 2, 80
 #: Texts of fewer words are similar only if their words are equal: one edit is more than a fifth.
 TINY = 5
 #: In buckets of up to this many texts all pairs are compared; in larger ones each with a few of its buckets' centres, then texts of different classes.
-SMALL_BUCKET, CENTRES = 12, 4
+SMALL_BUCKET, CENTRES = 4, 4
 #: Texts of a large bucket that are compared at once with as many others, and fewest and most counters of a text's words for it.
 BLOCK, BINS, MOST_BINS = 1024, 128, 4096
 #: Word hashes a task remembers before it starts anew, and words of the texts that are sketched at once.

@@ -146,3 +146,10 @@ def test_odd_rows(spark):
     kept = minhash.one_of_each(df)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [1, 4, 5, 6, 9, 12]
     assert minhash.near_duplicates(df.limit(0)).count() == 0 and minhash.one_of_each(df.limit(0)).count() == 0
+
+
+def test_candidates_grow_with_the_bucket(spark):
+    """A bucket of twelve texts gives each of them a few pairs, not one with every other."""
+    rows = [(7, i, 20, (1, 20), 12) for i in range(1, 13)]
+    members = spark.createDataFrame(rows, "sketch long, id long, n int, low struct<id:long,n:int>, size long")
+    assert 11 <= minhash.candidates(members).count() <= 12 * minhash.CENTRES
