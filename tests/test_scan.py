@@ -64,6 +64,20 @@ def test_overlaps_come_once(spark):
     assert got == [(0, 10), (0, 41), (40, 10)]
 
 
+def test_cells_hold_every_pair_once(spark, monkeypatch):
+    """Short, long and very long ranges on both sides of zero, repeated ones, empty ones and ones without key."""
+    monkeypatch.setattr(intervals, "SIZES", 4)
+    rng = random.Random(4)
+    some = lambda n, longest: [(rng.choice(["s", "t", None]), a := rng.randint(-300, 300), a + rng.choice([0, 1, rng.randint(0, longest)]), i) for i in range(n)]
+    many, few = some(120, 900), some(30, 60)
+    many, few = many + many[:3], few + few[:3]
+    a = spark.createDataFrame(many, "k string, a0 bigint, a1 bigint, i bigint")
+    b = spark.createDataFrame(few, "k string, b0 bigint, b1 bigint, j bigint")
+    got = rows(intervals.in_cells(a, b, ["k"], ("a0", "a1"), ("b0", "b1"), width=7).select("i", "j"))
+    want = [(x[3], y[3]) for x in many for y in few if x[0] == y[0] is not None and max(x[1], y[1]) < min(x[2], y[2])]
+    assert got == sorted(want, key=lambda r: tuple((False, str(v)) for v in r))
+
+
 def test_counted_keys_are_not_counted_again(spark):
     df = spark.createDataFrame([("a", 0), ("a", 1), ("b", 0)], "k string, i bigint")
     spark.conf.set("spark.splicework.smallBytes", "0")
