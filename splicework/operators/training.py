@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.digest import digest
 from ..functions.numeric import floor_div, quotient
 from ..functions.ranges import zero
-from .blocks import peak_and_typical
-from .intervals import overlapping
+from .blocks import with_levels
+from .intervals import in_cells
 from .scan import following, next_known, previous, running_sum, scan
 
 SPAN = ["timeline_id", "source_id"]
@@ -46,8 +46,8 @@ def keep_drop_labels(clips: DataFrame, sources: DataFrame, levels: DataFrame, so
     spans = keep_drop_spans(clips, sources)
     known = spans.join(source_levels.select("source_id", "hop_us", F.col("median_db").alias("source_median_db")), "source_id", "left")
     windows = known.withColumns({"h0": floor_div("start", F.col("hop_us")), "h1": -floor_div(-F.col("end"), F.col("hop_us")) - 1})
-    heard = windows.join(peak_and_typical(windows.where("hop_us IS NOT NULL"), levels), ["source_id", "h0", "h1"], "left")
-    shared = overlapping(spans, quiet.select("source_id", F.col("start").alias("__qs"), F.col("end").alias("__qe")), ["source_id"], ("start", "end"), ("__qs", "__qe"))
+    heard = with_levels(windows, levels)
+    shared = in_cells(spans, quiet.select("source_id", F.col("start").alias("__qs"), F.col("end").alias("__qe")), ["source_id"], ("start", "end"), ("__qs", "__qe"))
     calm = shared.groupBy(*SPAN, "start").agg(F.sum(F.least("end", "__qe") - F.greatest("start", "__qs")).alias("quiet_us"))
     return heard.join(calm, [*SPAN, "start"], "left").select(*SPAN, "keep", "start", "end", "peak_db", "typical_db", "source_median_db", F.coalesce("quiet_us", zero()).alias("quiet_us"))
 

@@ -36,6 +36,22 @@ def test_peak_and_typical(spark, monkeypatch, block, fan, sizes):
     assert {tuple(r) for r in blocks.loudest(asked, levels).select("source_id", "h0", "h1", "peak_db").collect()} == {x[:4] for x in plain(series, windows, 0.5)}
 
 
+@pytest.mark.parametrize("block", [256, 4])
+def test_rows_with_levels(spark, monkeypatch, block):
+    """Every row comes back once, windows asked for twice, without levels, of no source or no hop included; short and long ones."""
+    monkeypatch.setattr(blocks, "BLOCK", block)
+    draw = random.Random(block)
+    series = {source: {hop: draw.choice([None, -100.0, -3.25, -round(draw.random() * 60, 1)]) for hop in range(700) if draw.random() < 0.9} for source in (1, 2)}
+    windows = [(draw.randint(1, 3), a, a + draw.choice([-1, 0, 3, 9, 40, 300, 600])) for a in (draw.randint(-20, 720) for _ in range(80))]
+    windows += windows[:5] + [(None, 1, 2), (1, None, None)]
+    levels = spark.createDataFrame([(s, h, db) for s, own in series.items() for h, db in own.items()], "source_id bigint, hop bigint, db double")
+    asked = spark.createDataFrame([(i, *w) for i, w in enumerate(windows)], "id bigint, source_id bigint, h0 bigint, h1 bigint")
+    known = {x[:3]: x for x in plain(series, [w for w in windows if None not in w], 0.5)}
+    got = sorted(tuple(r) for r in blocks.with_levels(asked, levels).collect())
+    assert [r[0] for r in got] == list(range(len(windows)))
+    assert [r[1:] for r in got] == [known.get(w, (*w, None, None)) for w in windows]
+
+
 def test_long_windows_read_few_rows(spark):
     """A window of a million hops asks for its two ends and some tens of nodes."""
     asked = spark.createDataFrame([(1, 1_000, 1_000_000), (1, 0, 255), (1, 200, 300)], "source_id bigint, h0 bigint, h1 bigint")
