@@ -105,18 +105,18 @@ def sketches_of(texts: list[np.ndarray]) -> list[np.ndarray]:
 
 
 def word_counts(tokens: np.ndarray) -> bytes:
-    """How many words fall into each of some counters, about as many as there are words; nothing for a text of over 65,535 words."""
+    """How many words, up to 255, fall into each of some counters, about as many as there are words."""
     size = min(MOST_BINS, max(BINS, 1 << max(0, len(tokens) - 1).bit_length()))
-    return np.bincount((tokens % np.uint64(size)).astype(np.int64), minlength=size).astype(np.uint16).tobytes() if len(tokens) < 1 << 16 else b""
+    return np.minimum(np.bincount((tokens % np.uint64(size)).astype(np.int64), minlength=size), 255).astype(np.uint8).tobytes()
 
 
-def folded(counts: list[bytes], size: int, most: int, kind: type) -> np.ndarray:
-    """A row of ``size`` counters per text, up to ``most`` each, from those of ``word_counts``; zeros where there are none."""
-    out, lengths = np.zeros((len(counts), size), dtype=kind), np.array([len(x) for x in counts]) // 2
-    for length in np.unique(lengths[lengths > 0]):
+def folded(counts: list[bytes], size: int) -> np.ndarray:
+    """A row of ``size`` counters per text, up to 255 each, from those of ``word_counts``: the same as if these had been as few."""
+    out, lengths = np.zeros((len(counts), size), dtype=np.int16), np.array([len(x) for x in counts])
+    for length in np.unique(lengths):
         at = np.flatnonzero(lengths == length)
-        own = np.frombuffer(b"".join([counts[i] for i in at]), dtype=np.uint16).reshape(len(at), -1, size)
-        out[at] = np.minimum(own.sum(1, dtype=np.int32), most)
+        own = np.frombuffer(b"".join([counts[i] for i in at]), dtype=np.uint8).reshape(len(at), -1, size)
+        out[at] = np.minimum(own.sum(1, dtype=np.int32), 255)
     return out
 
 
@@ -200,38 +200,41 @@ def candidates(members: DataFrame, least: float = LEAST) -> DataFrame:
     return within.unionByName(large).where(fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
-def across(members: DataFrame, classed: DataFrame, least: float = LEAST) -> DataFrame:
+def across(members: DataFrame, kins: DataFrame, counters: DataFrame, least: float = LEAST) -> DataFrame:
     """Pairs (a, b) of brief nodes that share a large bucket, are in different classes so far and may be similar.
 
-    ``classed`` has (id, kin: hash of the class, bins, sketches). Every pair of a large bucket is looked at, in
-    blocks of BLOCK by BLOCK texts, unless both are in one class already or their lengths are too
-    far apart: a text stands under its band of lengths and the next, as similar ones are at
-    most one band apart. A pair is left out only where the counts of words prove too many edits, and comes from
+    ``kins`` has (id, kin: hash of the class), ``counters`` (id, bins, sketches). Every pair of a large bucket is
+    looked at, in blocks of BLOCK by BLOCK texts, unless both are in one class already or their lengths are too
+    far apart: a text stands under its band of lengths and, if the bucket has texts there, under the next, as
+    similar ones are at most one band apart. Texts that meet no other class are gone before counters are
+    looked up, once per text. A pair is left out only where the counts of words prove too many edits, and comes from
     the bucket of its first common sketch only; if that is a small one, its pairs were compared before.
     """
     width = math.log(1 / least) * 1.0001 if least < 0.99 else 0.01
     band = F.floor(F.log(F.greatest("n", F.lit(1)).cast("double")) / F.lit(width)).cast("int")
-    rows = members.where(F.col("size") > SMALL_BUCKET).select("sketch", "id", "n").join(classed.select("id", "kin"), "id")
-    rows = rows.select("sketch", "id", "n", "kin", band.alias("band"), F.explode(F.array(band, band + 1)).alias("at"), F.pmod("id", F.lit(SPREAD)).cast("int").alias("piece"))
-    pieces = rows.groupBy("sketch", "at", "piece").agg(F.min("kin").alias("low"), F.max("kin").alias("high"), F.count("*").alias("here"))
+    each = members.where(F.col("size") > SMALL_BUCKET).groupBy("id", "n").agg(F.collect_set("sketch").alias("of")).join(kins, "id")
+    rows = each.select("id", "n", "kin", band.alias("band"), F.pmod("id", F.lit(SPREAD)).cast("int").alias("piece"), F.explode("of").alias("sketch"))
+    pieces = rows.groupBy("sketch", "band", "piece").agg(F.min("kin").alias("low"), F.max("kin").alias("high"), F.count("*").alias("here"))
     same = Window.partitionBy("sketch", "at")
-    whole = pieces.select("sketch", "at", "piece", F.min("low").over(same).alias("low"), F.max("high").over(same).alias("high"), F.ceil(F.sum("here").over(same) / BLOCK).cast("int").alias("blocks"))
-    mixed = rows.join(whole.where("low != high").drop("low", "high"), ["sketch", "at", "piece"]).join(classed.select("id", "kin", "bins", "sketches"), ["id", "kin"])
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    cells = mixed.select("sketch", "at", "id", "n", "kin", "bins", "sketches", (F.col("band") == F.col("at")).alias("here"), own.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cells = cells.select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    whole = pieces.select("*", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("at")).select(
+        "sketch", "band", "piece", "at", F.min("low").over(same).alias("low"), F.max("high").over(same).alias("high"), F.max(F.col("band") == F.col("at")).over(same).alias("own"), F.ceil(F.sum("here").over(same) / BLOCK).cast("int").alias("blocks")
+    )
+    asked = whole.where("own AND low != high").groupBy("sketch", "band", "piece").agg(F.collect_list(F.struct("at", "blocks")).alias("stands"))
+    mixed = rows.join(asked, ["sketch", "band", "piece"]).groupBy("id", "kin").agg(F.collect_list(F.struct("sketch", "band", "n", "stands")).alias("of")).join(counters, "id")
+    stands = mixed.select("id", "kin", "bins", "sketches", F.explode("of").alias("x")).select("id", "kin", "bins", "sketches", "x.sketch", "x.band", "x.n", F.explode("x.stands").alias("x"))
+    stands = stands.select("sketch", "x.at", "x.blocks", "id", "n", "kin", "bins", "sketches", (F.col("band") == F.col("x.at")).alias("here"))
+    cells = stands.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select("sketch", "at", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "n", "kin", "bins", "sketches", "here", "block")
 
     def work(cell: pa.Table) -> pa.Table:
         ids, n, kin, here, block = (cell.column(c).to_numpy() for c in ("id", "n", "kin", "here", "block"))
         own = cell.column("bins").to_pylist()
-        known = np.array([len(x) > 0 for x in own])
-        fine = min((len(x) // 2 for x in own if x), default=BINS)
-        counts = [folded(own, BINS, 255, np.int16), folded(own, fine, 1 << 16, np.int32)]  # few counters first, all of them for what is left
+        counts = [folded(own, BINS), folded(own, min(map(len, own)))]  # few counters first, all of them for what is left
 
         def possible(x: int, y: np.ndarray, longest: np.ndarray, counted: np.ndarray) -> np.ndarray:
             gap = counted[y] - counted[x]
             edits = (np.abs(gap).sum(1, dtype=np.int64) + np.abs(gap.sum(1, dtype=np.int64))) // 2  # the larger of words only here and only there
-            return (edits <= np.floor(longest * (1 - least) + 1e-9)) | ~(known[y] & known[x])
+            return edits <= np.floor(longest * (1 - least) + 1e-9)
 
         i, j, sketch = (cell.column(c)[0].as_py() for c in ("i", "j", "sketch"))
         held = [np.array(x, dtype=np.int64) for x in cell.column("sketches").to_pylist()]
@@ -387,8 +390,8 @@ def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
     members = checkpoint(buckets(nodes))
     links = linked(checkpoint(candidates(members, least)))
     roots = components(links)
-    classed = nodes.join(roots, "node", "left").select(brief("node").alias("id"), F.xxhash64(F.coalesce("root", "node")).alias("kin"), "bins", "sketches")
-    further, rows = counted(across(members, classed, least))
+    kins = nodes.select("node").join(roots, "node", "left").select(brief("node").alias("id"), F.xxhash64(F.coalesce("root", "node")).alias("kin"))
+    further, rows = counted(across(members, kins, nodes.select(brief("node").alias("id"), "bins", "sketches"), least))
     release(members)
     if rows:
         more, at = linked(further), roots.select("node", "root")

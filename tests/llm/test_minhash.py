@@ -153,3 +153,22 @@ def test_candidates_grow_with_the_bucket(spark):
     rows = [(7, i, 20, (1, 20), 12) for i in range(1, 13)]
     members = spark.createDataFrame(rows, "sketch long, id long, n int, low struct<id:long,n:int>, size long")
     assert 11 <= minhash.candidates(members).count() <= 12 * minhash.CENTRES
+
+
+def test_across_looks_at_other_classes_only(spark):
+    """Pairs within a class, of lengths too far apart and of other words are not listed, however long the texts are."""
+    draw = np.random.default_rng(5)
+    words = lambda n: draw.integers(1, 1 << 62, n).astype(np.uint64)
+    long, short = words(70000), words(300)
+    texts = [(1, 1, long), (2, 2, np.r_[long[:69000], words(900)]), (3, 3, np.full(70000, 9, dtype=np.uint64)), (4, 4, short), (5, 4, short[:290]), (6, 4, short[:280]), (7, 5, np.r_[short[:270], words(20)]), (8, 6, words(300))]
+    members = spark.createDataFrame([(7, i, len(t), (1, 70000), 8) for i, _, t in texts], "sketch long, id long, n int, low struct<id:long,n:int>, size long")
+    kins = spark.createDataFrame([(i, k) for i, k, _ in texts], "id long, kin long")
+    counters = spark.createDataFrame([(i, bytearray(minhash.word_counts(t)), [7] * minhash.SKETCHES) for i, _, t in texts], "id long, bins binary, sketches array<long>")
+    assert sorted(map(tuple, minhash.across(members, kins, counters).collect())) == [(1, 2), (4, 7), (5, 7), (6, 7)]
+
+
+def test_counts_are_the_same_however_many_counters():
+    draw = np.random.default_rng(6)
+    tokens = draw.choice(draw.integers(1, 1 << 62, 900).astype(np.uint64), 5000, p=np.r_[0.5, np.full(899, 0.5 / 899)])
+    fine = minhash.folded([minhash.word_counts(tokens)], minhash.BINS)[0]
+    assert (fine == np.minimum(np.bincount((tokens % np.uint64(minhash.BINS)).astype(int), minlength=minhash.BINS), 255)).all() and fine.max() == 255
