@@ -53,10 +53,10 @@ def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, str]]:
 
 
 class Numbers(dict):
-    """A number for each word, and 0 for the empty one."""
+    """A number of 32 bits for each word, and 0 for the empty one. Words that share one only let more candidates through to the exact counts."""
 
     def __missing__(self, word: bytes) -> int:
-        number = self[word] = xxhash.xxh64_intdigest(word) | 1 if word else 0
+        number = self[word] = xxhash.xxh32_intdigest(word) | 1 if word else 0
         return number
 
     def of(self, words: list[bytes]) -> np.ndarray:
@@ -80,8 +80,14 @@ def run_hashes(tokens: np.ndarray, lang: str, longest: int = LONGEST) -> Iterato
         yield out
 
 
-#: Where in a hash the places of its two bits begin.
-PROBES = (1, 33)
+#: Lowest bits of a hash that are not stored; phrases that then look equal only let more candidates through to the exact counts.
+UNSTORED = np.uint64(24)
+#: Where in a stored hash the places of its two bits begin.
+PROBES = (0, 13)
+
+
+def stored(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> UNSTORED).view(np.int64)
 
 
 class Known:
@@ -91,7 +97,7 @@ class Known:
         self.bits, self.low = bits, np.uint64(len(bits) * 64 - 1)
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
-        found = np.ones(len(hashes), dtype=bool)
+        found, hashes = np.ones(len(hashes), dtype=bool), hashes >> UNSTORED
         for shift in PROBES:
             at = (hashes >> np.uint64(shift)) & self.low
             found &= (self.bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) != 0
@@ -125,12 +131,12 @@ def encoded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         def stretch(lang: str) -> pa.RecordBatch:
             tokens = np.concatenate(held.pop(lang))
             size.pop(lang)
-            return batch_of(lang=[lang], shard=[shard], words=[int((tokens != 0).sum())], tokens=[tokens.tobytes()], word=[None], h=[None], count=[None])
+            return batch_of(lang=[lang], shard=[shard], words=[int((tokens != 0).sum())], tokens=[tokens.astype(np.uint32).tobytes()], word=[None], h=[None], count=[None])
 
         def counted_words() -> Iterator[pa.RecordBatch]:
             for lang, own in counts.items():
                 own.pop(b"", None)
-                hashes, none = next(run_hashes(numbers.of(list(own)), lang, 1)).view(np.int64), [None] * len(own)
+                hashes, none = stored(next(run_hashes(numbers.of(list(own)), lang, 1))), [None] * len(own)
                 yield batch_of(lang=[lang] * len(own), shard=none, words=none, tokens=none, word=[w.decode(errors="replace") for w in own], h=hashes, count=list(own.values()))
             counts.clear()
 
@@ -159,23 +165,23 @@ def batch_of(**columns: object) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v, _KINDS[k]) for k, v in columns.items()], list(columns))
 
 
-def counts_of_shards(stretches: DataFrame, filters: list[Known]) -> DataFrame:
+def counts_of_shards(stretches: DataFrame, filters: list[Known], chosen: Known | None = None) -> DataFrame:
     """Phrases of len(filters) + 1 words with their counts in some stretches of a shard: lang, shard, h, count.
 
-    Only phrases are tried whose two parts of one word less passed the ``filters`` of the rounds before.
+    Only phrases are tried whose two parts of one word less passed the ``filters`` of the rounds before, and of these only the ``chosen``, if given.
     """
     k = len(filters) + 1
 
     def counted_in(lang: str, shard: int, parts: list[np.ndarray]) -> pa.RecordBatch:
-        tokens, before = np.concatenate(parts), None
+        tokens, before = np.concatenate(parts).astype(np.uint64), None
         for size, hashes in enumerate(run_hashes(tokens, lang, k), 1):
             if size == k:
                 own = hashes[(hashes != 0) & before[: len(hashes)] & before[1 : len(hashes) + 1]]
             else:
                 fits = (hashes != 0) & filters[size - 1].has(hashes)
                 before = fits if before is None else fits & before[: len(fits)] & before[1 : len(fits) + 1]
-        found, count = np.unique(own, return_counts=True)
-        return batch_of(lang=pa.repeat(lang, len(found)), shard=np.full(len(found), shard), h=found.view(np.int64), count=count)
+        found, count = np.unique(stored(own if chosen is None else own[chosen.has(own)]), return_counts=True)
+        return batch_of(lang=pa.repeat(lang, len(found)), shard=np.full(len(found), shard), h=found, count=count)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, int], list[np.ndarray]] = defaultdict(list)
@@ -183,7 +189,7 @@ def counts_of_shards(stretches: DataFrame, filters: list[Known]) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 key = batch.column("lang")[i].as_py(), batch.column("shard")[i].as_py()
-                held[key].append(np.frombuffer(batch.column("tokens")[i].as_buffer(), dtype=np.uint64).copy())
+                held[key].append(np.frombuffer(batch.column("tokens")[i].as_buffer(), dtype=np.uint32).copy())
                 size[key] += len(held[key][-1])
                 if size[key] > AT_ONCE:
                     yield counted_in(*key, held.pop(key))
@@ -254,9 +260,9 @@ def exact_counts(docs: DataFrame, filters: list[Known]) -> DataFrame:
 def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, shards: int = SHARDS) -> tuple[DataFrame, DataFrame]:
     """(text, lang) -> the phrases of 1 to ``longest`` words with at least ``support`` occurrences (lang, phrase, f), and (lang, n) of all words.
 
-    Words are counted by themselves. For each further length the shards are mined and the union of what they report,
-    less what cannot reach the support, passes on as a filter; then one pass over the texts counts all
-    candidates by their words, so that neither equal hashes nor a full filter change a result.
+    Words are counted by themselves. For each further length the shards are mined; the union of what they report,
+    less what cannot reach the support, is counted over all shards by its hashes, and what has the support passes on as a filter.
+    Then one pass over the texts counts all candidates by their words, so that neither equal hashes nor a full filter change a result.
     """
     coded = checkpoint(encoded(docs, shards))
     stretches = coded.where("tokens IS NOT NULL")
@@ -269,8 +275,14 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LON
     filters, frames = [known(common, rows)], []
     for _ in range(2, longest + 1):
         found, rows = counted(candidates(reported(counts_of_shards(stretches, filters), limits), kept_back, support))
-        filters.append(known(found, rows))
+        union = known(found, rows)
         release(found)
+        if rows:
+            sums = counts_of_shards(stretches, filters, union).groupBy("lang", "h").agg(F.sum("count").alias("f"))
+            found, rows = counted(sums.where(F.col("f") >= support).select("lang", "h"))
+            union = known(found, rows)
+            release(found)
+        filters.append(union)
         if not rows:
             break
     release(coded)

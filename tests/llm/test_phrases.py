@@ -81,3 +81,17 @@ def test_products_of_more_than_64_bits(spark, monkeypatch):
     monkeypatch.setattr(phrases, "frequent_phrases", lambda *_: (found, checkpoint(totals)))
     row = phrases.collocations(found).collect()[0]
     assert row.score == 1000 * 3 * 10**12 * 10**14 // (20 * 10**24) and (row.l, row.r) == (4 * 10**12, 5 * 10**12)
+
+
+def test_only_frequent_phrases_reach_the_last_count(spark, monkeypatch):
+    """What one shard reports but all shards together have too seldom is gone before phrases are counted by their words."""
+    seen = []
+    counts = phrases.exact_counts
+    monkeypatch.setattr(phrases, "exact_counts", lambda docs, filters: seen.append(filters) or counts(docs, filters))
+    lines = [["often seen"] * 8 + ["a b"] * 10 * (i == 0) + [f"u{i} v{k}" for k in range(40)] for i in range(3)]
+    df = spark.createDataFrame([("\n".join(x), "en") for x in lines], "text string, lang string").repartitionByRange(3, "text")
+    found, _ = phrases.frequent_phrases(df, 20, shards=3)
+    numbers = phrases.Numbers()
+    h = lambda p: list(phrases.run_hashes(numbers.of(p.split()), "en", 2))[1]
+    assert seen[0][1].has(h(b"often seen")).all() and not seen[0][1].has(h(b"a b")).any()
+    assert {(r.phrase, r.f) for r in found.collect() if " " in r.phrase} == {("often seen", 24)}
