@@ -16,8 +16,10 @@ from .registry import corpus_query
 TABLES, ROWS, POWER = 48, 64.0, 0.375
 #: Rows that a probed bucket holds, times the mean bucket: queries probe where vectors are dense.
 DENSITY = 1.55
-#: Axes of one hash that probes are made of, and combinations kept while hashes are combined.
+#: Axes of one hash that probes are made of, and probes at most.
 AXES, COMBINATIONS = 64, 4096
+#: Rows that a task hands over at once, about.
+BATCH_ROWS = 1 << 20
 #: Pieces over which copies of one vector are dealt before the least ids among them are taken.
 PIECES = 16
 QUERY_EVERY, NEAREST = 100, 10
@@ -71,6 +73,15 @@ class Hashes:
                 out[:, number] = out[:, number] * 2 * seen.shape[1] + 2 * axis + (seen[np.arange(len(seen)), axis] < 0)
         return out
 
+    def combined(self, many: int, axes: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``many`` combinations and of a further hash's ``axes``, both in order of their cost, may be among the probes together.
+
+        The i-th with the j-th costs no less than the (i + 1)(j + 1) - 1 pairs before both, so it is left out where these fill the probes.
+        """
+        pairs = [(i, j) for i in range(min(many, self.probes)) for j in range(min(axes, self.probes // (i + 1)))]
+        left, right = np.array(pairs, dtype=np.int64).T
+        return left, right
+
     def probed(self, vectors: np.ndarray) -> np.ndarray:
         """The buckets that each vector asks in each table: those whose axes it is least farther from than from the nearest."""
         unit, out = self.unit(vectors), np.empty((len(vectors), TABLES, self.probes), dtype=np.int64)
@@ -80,11 +91,11 @@ class Hashes:
                 signed = np.stack([seen, -seen], axis=2).reshape(len(seen), -1)
                 order = np.argsort(-signed, axis=1, kind="stable")[:, :AXES]
                 gap = (signed.max(1, keepdims=True) - np.take_along_axis(signed, order, 1)) ** 2
-                cost = (cost[:, :, None] + gap[:, None, :]).reshape(len(seen), -1)
-                bucket = (bucket[:, :, None] * signed.shape[1] + order[:, None, :]).reshape(len(seen), -1)
-                best = np.argsort(cost, axis=1, kind="stable")[:, :COMBINATIONS]
+                left, right = self.combined(cost.shape[1], gap.shape[1])
+                cost, bucket = cost[:, left] + gap[:, right], bucket[:, left] * signed.shape[1] + order[:, right]
+                best = np.argsort(cost, axis=1, kind="stable")[:, : self.probes]
                 cost, bucket = np.take_along_axis(cost, best, 1), np.take_along_axis(bucket, best, 1)
-            out[:, number, : bucket.shape[1]] = bucket[:, : self.probes]
+            out[:, number, : bucket.shape[1]] = bucket
             out[:, number, bucket.shape[1] :] = -1
         return out
 
@@ -98,12 +109,14 @@ def valid(vectors: DataFrame) -> DataFrame:
 
 def _hashed(vectors: DataFrame, sizes: dict[int, int], queries: bool) -> DataFrame:
     """(vec_id, dim, number, bucket): a row per table for the index, a row per probe for queries."""
+    probes = max((Hashes(dim, n).probes for dim, n in sizes.items()), default=1) if queries else 1
+    step = max(1, min(256 if queries else 4096, BATCH_ROWS // (TABLES * probes)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, Hashes] = {}
         for whole in batches:
-            for start in range(0, whole.num_rows, 256 if queries else 4096):
-                batch = whole.slice(start, 256 if queries else 4096)
+            for start in range(0, whole.num_rows, step):
+                batch = whole.slice(start, step)
                 dims = batch.column("dim").to_numpy(zero_copy_only=False)
                 for dim in np.unique(dims).tolist():
                     hashes = known.setdefault(dim, Hashes(dim, sizes[dim]))
@@ -155,11 +168,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEAREST) -> DataFra
     asking = checkpoint(valid(queries).distinct())
     asking = asking.join(F.broadcast(asking.sparkSession.createDataFrame([(d,) for d in sizes] or [(-1,)], "dim int")), "dim", "left_semi")
     index = _hashed(reps, sizes, False)
-    probes = _hashed(asking, sizes, True).withColumnRenamed("vec_id", "query_id")
+    many = asking.count()
+    pieces = many * TABLES * max((Hashes(dim, n).probes for dim, n in sizes.items()), default=1) // BATCH_ROWS
+    probes = _hashed(asking.repartition(pieces, "vec_id") if pieces > 1 else asking, sizes, True).withColumnRenamed("vec_id", "query_id")
+    if pieces:
+        probes = probes.hint("merge")  # the optimizer takes them for as few as their queries, and would send them all to every task
     pairs = probes.join(index, ["dim", "number", "bucket"]).select("query_id", F.col("vec_id").alias("rep"), "dim").distinct()
     asked = asking.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"), "dim")
     with_vectors = pairs.join(reps.withColumnRenamed("vec_id", "rep"), ["rep", "dim"])
-    small = asking.count() <= BROADCAST_ROWS
+    small = many <= BROADCAST_ROWS
     scored = with_vectors.join(F.broadcast(asked) if small else asked, ["query_id", "dim"]).select("query_id", "rep", "dim", _by_distance().alias("score"))
     first = Window.partitionBy("query_id").orderBy("score", "rep")
     best = scored.withColumn("at", F.row_number().over(first)).where(F.col("at") <= k + 1).drop("at")
