@@ -54,3 +54,30 @@ def test_an_empty_batch_is_a_revision(spark):
     revisions, after = rv.commit_ops(projects, batch, ops, ops.select("timeline_id", "op_idx", F.lit("x").alias("message")))
     (row,) = revisions.collect()
     assert row.ops == "[]" and row.committed and row.accepted is None and after.first().head_revision_id == row.revision_id
+
+
+def test_every_edit_is_previewed(spark, tmp_path):
+    """One row per edit of any kind, those that cannot apply included; ``preview_ops`` once listed five kinds of fourteen."""
+    import datetime
+
+    import duckdb
+
+    from splicework.plans import catalog
+
+    rng = random.Random(5)
+    lines = [(o, n, rng.randrange(1, 80), rng.randrange(1, 9), datetime.date(2024, 1, n), float(n), float(rng.randrange(1, 40)), 0.1 if rng.random() < 0.1 else 0.05, 0.08 if n % 2 else 0.02, rng.choice("RAN"))
+             for o in range(40) for n in range(1, 8)]
+    columns = "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_shipdate date, l_extendedprice double, l_quantity double, l_discount double, l_tax double, l_returnflag string"
+    tables = {"lineitem": spark.createDataFrame(lines, columns), "orders": spark.createDataFrame([(o,) for o in range(38)], "o_orderkey bigint"),
+              "part": spark.createDataFrame([(p, f"p{p}", 1 + p % 50) for p in range(1, 75)], "p_partkey bigint, p_name string, p_size int")}
+    con = duckdb.connect()
+    for name, df in tables.items():
+        df.coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    query = catalog()["preview_ops"]
+    df = query.run(spark, str(tmp_path))
+    got = {(r.timeline_id, r.op_idx): tuple(r) for r in df.collect()}
+    assert len(got) == len(lines) and {r[0] for r in got.values()} == set(range(40))
+    cur = con.execute(query.sql)
+    at = [[c[0] for c in cur.description].index(c) for c in df.columns]
+    assert {(r[0], r[1]): r for r in (tuple(row[i] for i in at) for row in cur.fetchall())} == got
